@@ -32,9 +32,24 @@ def written(df: DataFrame, what: str = "step") -> DataFrame:
     path = f"{workspace(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    del df
+    release(spark)
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Has the driver drop plans that nothing refers to, and with them their shuffle files."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing lazy reads any more."""
+    for t in tables:
+        jvm = t.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.written_path)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def batched(spark: SparkSession, rows: int = 1000) -> None:
@@ -63,7 +78,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e = written(e, "links")
     if e.isEmpty():
         return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    last = None
+    last = old = None
     while True:
         both = e.union(e.select("v", "u"))
         low = both.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
@@ -73,6 +88,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = e.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
         small = e.join(low, F.col("u") == F.col("k")).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
         e = written(small.where("u <> v").distinct(), "links")
+        if old is not None:
+            discard(old)
+        old = e
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))

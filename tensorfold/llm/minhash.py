@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tensorfold.llm import text as X
-from tensorfold.llm.frames import batched, components, written
+from tensorfold.llm.frames import batched, components, discard, written
 
 WIDTH = 5
 BANDS, ROWS = 21, 6
@@ -215,6 +215,7 @@ def groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     inside = inside.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "component").join(sets, "doc")
     third = inside.groupBy("cluster", "i", "j").applyInArrow(_link_blocks, "a bigint, b bigint")
     label = written(components(known.unionByName(third)), "components")
+    discard(bucketed, sets, first, second, known)
     per_doc = signed.select("doc", "n")
     out = per_doc.join(label, F.col("doc") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "doc"))
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc") == F.col("component_id"), F.lit(True)).alias("kept"))

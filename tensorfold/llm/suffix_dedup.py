@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tensorfold.llm import text as X
-from tensorfold.llm.frames import BitFilter, batched, identified, written
+from tensorfold.llm.frames import BitFilter, batched, discard, identified, written
 from tensorfold.llm.suffix_array import suffix_array
 
 LENGTH = 100
@@ -251,7 +251,9 @@ def repeated_ranges(docs: DataFrame, most: int = MOST_KINDS) -> DataFrame:
     windows = cut.where(F.col("kinds") > most).drop("kinds").mapInArrow(_windows, "h bigint, d int, w bigint, doc bigint, fp bigint, s int")
     earliest = windows.groupBy("h", "d", "w").agg(F.min(F.struct("doc", "fp", "s")).alias("first"))
     later = windows.join(earliest, ["h", "d", "w"]).where(F.struct("doc", "fp", "s") != F.col("first")).select("doc", "fp", "s", (F.col("s") + LENGTH).alias("e"))
-    return copies.unionByName(sorted_).unionByName(later)
+    ranges = written(copies.unionByName(sorted_).unionByName(later), "ranges")
+    discard(twice, found, first, cut)
+    return ranges
 
 
 def merged(ranges: list[dict]) -> list[tuple[int, int]]:
