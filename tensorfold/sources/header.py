@@ -122,3 +122,11 @@ def realign(data: bytes, path: str = "") -> bytes:
     if h.aligned:
         return data
     return render([(x.name, x.dtype, list(x.shape)) for x in h.entries], h.metadata) + data[h.header_length :]
+
+
+def header_of_bytes(f: BinaryIO, path: str = "") -> Header:
+    """The header of an open, seekable file."""
+    f.seek(0, io.SEEK_END)
+    size = f.tell()
+    f.seek(0)
+    return read_header(f, size, path)
