@@ -181,7 +181,7 @@ def groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     keyed = full.join(reps.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi").select("doc", F.posexplode("bands").alias("band", "key"))
     several = keyed.groupBy("band", "key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high")
     bucketed = written(keyed.join(several.select("band", "key", "low"), ["band", "key"]).distinct(), "buckets")
-    wanted = bucketed.select("doc").distinct()
+    wanted = bucketed.select("doc").distinct().hint("merge")  # the same plan at every size
     sets = written(rows.where("doc is not null").join(wanted, "doc", "left_semi").mapInArrow(_sets, "doc bigint, set binary").distinct(), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
