@@ -15,6 +15,7 @@ stays null. Other columns don't matter. An empty table gives an empty result.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from math import ceil
 
@@ -28,10 +29,12 @@ from tensorfold.llm.frames import batched, written
 LENGTH = 1024
 END_ID = 2
 PER_TASK = 200_000
-CACHED_PARTS = 400_000
+CACHED_PARTS = 1_500_000
 VOCABULARY = "byte_bpe_50k.json"
 # Fixed value: the pattern by which the vocabulary's tokenizer parts a text.
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for texts of ASCII characters only, in which it is faster.
+ASCII_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ \t\n\v\f\rA-Za-z0-9]+|[ \t\n\v\f\r]+(?![^ \t\n\v\f\r])|[ \t\n\v\f\r]+"
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -50,11 +53,11 @@ class PartEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.parts = regex.compile(PARTS).findall
+        self.parts, self.ascii_parts = regex.compile(PARTS).findall, re.compile(ASCII_PARTS).findall
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parted = [self.parts(t) for t in texts]
+        parted = [self.ascii_parts(t) if t.isascii() else self.parts(t) for t in texts]
         known = self.known
         if len(known) > CACHED_PARTS:
             known.clear()
