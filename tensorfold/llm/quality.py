@@ -23,7 +23,7 @@ from tensorfold.llm import rules
 from tensorfold.llm import text as X
 from tensorfold.llm.frames import batched
 
-TERMS = 1 << 12
+TERMS = 1 << 11
 RANK = 48
 SAMPLE = 2048
 NEIGHBOURS = 25
