@@ -43,6 +43,18 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+class KnownParts(dict):
+    """Ids by part; parts asked for in vain are noted, and have no bytes yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, part: str) -> bytes:
+        self.new.append(part)
+        return b""
+
+
 class PartEncoder:
     """Little-endian 32-bit ids of texts, by way of their parts."""
 
@@ -54,18 +66,27 @@ class PartEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.parts, self.ascii_parts = regex.compile(PARTS).findall, re.compile(ASCII_PARTS).findall
-        self.known: dict[str, bytes] = {}
+        self.known = KnownParts()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parted = [self.ascii_parts(t) if t.isascii() else self.parts(t) for t in texts]
         known = self.known
         if len(known) > CACHED_PARTS:
             known.clear()
-        if new := list(set().union(*parted) - known.keys()):
+        get, out, again = known.__getitem__, [], []
+        for k, p in enumerate(parted):
+            before = len(known.new)
+            out.append(b"".join(map(get, p)))
+            if len(known.new) > before:
+                again.append(k)
+        if again:
+            new = list(dict.fromkeys(known.new))
+            known.new.clear()
             for part, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
                 known[part] = np.array(e.ids, "<u4").tobytes()
-        get = known.__getitem__
-        return [b"".join(map(get, p)) for p in parted]
+            for k in again:
+                out[k] = b"".join(map(get, parted[k]))
+        return out
 
 
 _encoders: dict[str, PartEncoder] = {}
