@@ -76,6 +76,7 @@ CATALOG_ARROW = pa.schema(
     + [(x, pa.int64()) for x in ("nelem", "nbytes", "off_start", "off_end", "header_length", "file_size")]
     + [("aligned", pa.bool_()), ("metadata", pa.map_(pa.string(), pa.string()))]
 )
+BLOCKS_ARROW = pa.schema([("path", pa.string()), ("name", pa.string()), ("dtype", pa.string()), ("shape", pa.list_(pa.int64())), ("block_id", pa.int32()), ("elem_start", pa.int64()), ("elem_count", pa.int64()), ("payload", pa.binary())])
 
 
 @dataclass
@@ -144,7 +145,8 @@ class ArchiveReader(DataSourceReader):
                 payload = f.read(partition.length)
             if len(payload) != partition.length:
                 raise UnexpectedEOF(f"{partition.path}: {len(payload)} of {partition.length} bytes of {partition.name}")
-            yield (partition.path, partition.name, partition.dtype, partition.shape, partition.block_id, partition.elem_start, partition.elem_count, payload)
+            row = (partition.path, partition.name, partition.dtype, partition.shape, partition.block_id, partition.elem_start, partition.elem_count, payload)
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, BLOCKS_ARROW, strict=True)], schema=BLOCKS_ARROW)
             return
         for path in partition.paths:
             for row in catalog_rows(header_of(path)):
