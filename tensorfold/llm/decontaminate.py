@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tensorfold.llm import text as X
-from tensorfold.llm.frames import LAST_ID, batched, identified, written
+from tensorfold.llm.frames import LAST_ID, batched, identified, lean, written
 
 TERMS = 1 << 14
 RANK = 128
@@ -61,14 +61,15 @@ def _block_sums(projection: np.ndarray, term: np.ndarray, starts: np.ndarray, en
     return out
 
 
+@lean
 def _sketch(batches):
     """The sketch of the blocks' term counts, in slabs of terms, and the blocks with each term."""
     from pyspark import TaskContext
 
-    product, df, n = np.zeros(TERMS * SKETCH_ROWS, np.int64), np.zeros(TERMS, np.int64), 0
+    product, df, n = np.zeros(TERMS * SKETCH_ROWS, np.int32), np.zeros(TERMS, np.int64), 0
     for b in batches:
         data, bounds = X.utf8(b.column("text"))
-        for i, j in X.chunks(bounds, 2 * X.CHUNK_BYTES):
+        for i, j in X.chunks(bounds):
             h, first = X.word_hashes(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
             if not len(h):
                 continue
@@ -80,12 +81,11 @@ def _sketch(batches):
             # A block's place in the sketch and its sign come from its words, so a retried task gives the same.
             mark = X.mix(np.add.reduceat(h, starts))
             cell = term * SKETCH_ROWS + (mark % X.U(SKETCH_ROWS)).astype(np.int64)[block]
-            up = (mark >> X.U(63)).astype(bool)[block]
-            product += np.bincount(cell[up], minlength=len(product))
-            product -= np.bincount(cell[~up], minlength=len(product))
+            sign = (2 * (mark >> X.U(63)).astype(np.int32) - 1)[block]
+            np.add.at(product, cell, sign)
             pairs = np.sort(block * TERMS + term)
             df += np.bincount(pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] % TERMS, minlength=TERMS)
-    own, product = TaskContext.get().partitionId(), product.reshape(TERMS, SKETCH_ROWS).astype(np.int32)
+    own, product = TaskContext.get().partitionId(), product.reshape(TERMS, SKETCH_ROWS)
     for s in range(0, TERMS, SLAB):
         yield pa.RecordBatch.from_arrays([pa.array([own % TREE]), pa.array([s // SLAB]), pa.array([product[s : s + SLAB].tobytes()], pa.binary()), pa.array([df[s : s + SLAB].tobytes()], pa.binary()), pa.array([n])], names=["branch", "slab", "product", "df", "n"])
 
@@ -176,13 +176,14 @@ class Items:
 
 
 def _search(shared):
+    @lean
     def search(batches):
         projection, items = shared.value
         for b in batches:
             data, bounds = X.utf8(b.column("text"))
             doc, fp = b.column("doc").to_numpy(zero_copy_only=False), b.column("fp").to_numpy(zero_copy_only=False)
             found = []
-            for i, j in X.chunks(bounds, X.CHUNK_BYTES):
+            for i, j in X.chunks(bounds):
                 h, first = X.word_hashes(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
                 if not len(h):
                     continue

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tensorfold.llm import text as X
-from tensorfold.llm.frames import LAST_ID, batched, identified, written
+from tensorfold.llm.frames import LAST_ID, batched, identified, lean, written
 
 LANGUAGES = ("de", "en", "es", "fr")
 UND = "und"
@@ -54,6 +54,7 @@ def fit(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, text: str = "te
     """(languages + 1, BUCKETS) log-likelihoods. The tasks' counts have at most languages x buckets rows each, summed map-side."""
     batched(docs.sparkSession)
 
+    @lean
     def count(batches):
         own = np.zeros((len(languages), BUCKETS), np.int64)
         for b in batches:
@@ -78,6 +79,7 @@ def text_scores(rows: DataFrame, table: np.ndarray, keep: list[str]) -> DataFram
     """Adds ``loglik`` (one number a class, tempered) to the kept columns and drops the text."""
     shared = rows.sparkSession.sparkContext.broadcast(table)
 
+    @lean
     def score(batches):
         t = shared.value
         for b in batches:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tensorfold.llm import text as X
-from tensorfold.llm.frames import batched, components, discard, written
+from tensorfold.llm.frames import batched, components, discard, lean, written
 
 WIDTH = 5
 BANDS, ROWS = 21, 6
@@ -68,6 +68,7 @@ def sets_of(data: np.ndarray, bounds: np.ndarray, width: int = WIDTH) -> tuple[n
     return X.distinct(*X.shingles(*X.word_hashes(data, bounds), width))
 
 
+@lean
 def _signatures(batches):
     for b in batches:
         data, bounds = X.utf8(b.column("text"))
@@ -115,6 +116,7 @@ def _check_pairs(threshold):
     return check
 
 
+@lean
 def _sets(batches):
     for b in batches:
         data, bounds = X.utf8(b.column("text"))

@@ -24,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tensorfold.llm.frames import batched, written
+from tensorfold.llm.frames import batched, lean, written
 
 LENGTH = 1024
 END_ID = 2
 PER_TASK = 200_000
 CACHED_PARTS = 500_000
+AT_ONCE = 2_000
 VOCABULARY = "byte_bpe_50k.json"
 # Fixed value: the pattern by which the vocabulary's tokenizer parts a text.
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -82,8 +83,10 @@ class PartEncoder:
         if again:
             new = list(dict.fromkeys(known.new))
             known.new.clear()
-            for part, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[part] = np.array(e.ids, "<u4").tobytes()
+            for i in range(0, len(new), AT_ONCE):  # an encoding is far larger than its ids
+                some = new[i : i + AT_ONCE]
+                for part, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                    known[part] = np.array(e.ids, "<u4").tobytes()
             for k in again:
                 out[k] = b"".join(map(get, parted[k]))
         return out
@@ -113,6 +116,7 @@ PIECES = "uid bigint, doc_id bigint, piece int, start bigint, length bigint, ids
 def pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """A row for each piece, with a number of its own; on demand also its ids as little-endian 32-bit numbers."""
 
+    @lean
     def cut(batches):
         from pyspark import TaskContext
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tensorfold.llm import text as X
-from tensorfold.llm.frames import BitFilter, batched, discard, identified, written
+from tensorfold.llm.frames import BitFilter, batched, discard, identified, lean, written
 from tensorfold.llm.suffix_array import suffix_array
 
 LENGTH = 100
@@ -82,6 +82,7 @@ def segments(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, anchor:
     return row, start, end - start, at[start] - start, h[at[start]], runs
 
 
+@lean
 def _anchors(batches):
     """Anchor hashes, one row for each segment."""
     for b in batches:
@@ -95,6 +96,7 @@ def _anchors(batches):
 def _segments_among(bits):
     words = bits.value
 
+    @lean
     def find(batches):
         kept = BitFilter(words)
         for b in batches:
@@ -179,6 +181,7 @@ RANGE = "doc bigint, fp bigint, s int, e int"
 CUT = "h bigint, doc bigint, fp bigint, a int, n int, rel int, bytes binary"
 
 
+@lean
 def _suffix_sorted(batches):
     """Rows of segments, those of an anchor together; out come repeated byte ranges."""
     held: list[dict] = []
@@ -203,6 +206,7 @@ def _suffix_sorted(batches):
 RANGE_ARROW = pa.schema([("doc", pa.int64()), ("fp", pa.int64()), ("s", pa.int32()), ("e", pa.int32())])
 
 
+@lean
 def _windows(batches):
     """A row for each window of a segment: anchor, distance from it, hash and place."""
     for b in batches:
@@ -216,6 +220,7 @@ def _windows(batches):
             )
 
 
+@lean
 def _cut(batches):
     """Bytes of each row's listed segments."""
     for b in batches:
@@ -280,6 +285,7 @@ def with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
     return docs.join(per, ["doc", "fp"], "left")
 
 
+@lean
 def _digests(batches):
     for b in batches:
         rows = []
