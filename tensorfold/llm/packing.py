@@ -68,6 +68,9 @@ class PartEncoder:
         self.tokenizer.encode_special_tokens = True
         self.parts, self.ascii_parts = regex.compile(PARTS).findall, re.compile(ASCII_PARTS).findall
         self.known = KnownParts()
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that begin with a space, written as this sign
+        self.opens[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parted = [self.ascii_parts(t) if t.isascii() else self.parts(t) for t in texts]
@@ -83,14 +86,28 @@ class PartEncoder:
         if again:
             new = list(dict.fromkeys(known.new))
             known.new.clear()
-            for i in range(0, len(new), AT_ONCE):  # an encoding is far larger than its ids
-                some = new[i : i + AT_ONCE]
-                for part, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                    known[part] = np.array(e.ids, "<u4").tobytes()
+            self.learn(new)
             for k in again:
                 out[k] = b"".join(map(get, parted[k]))
         return out
 
+    def learn(self, new: list[str]) -> None:
+        """Ids of parts not known yet. Joined words that begin with a space are parted as they are alone, so one call serves many."""
+        words = [p for p in new if p[0] == " " and p[1:].isalpha()]
+        for some in _slices(words):
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            raw, at = ids.tobytes(), [*(4 * np.flatnonzero(self.opens[ids])).tolist(), 4 * len(ids)]
+            for part, i, j in zip(some, at[:-1], at[1:], strict=True):
+                self.known[part] = raw[i:j]
+        for some in _slices([p for p in new if not (p[0] == " " and p[1:].isalpha())]):
+            for part, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.known[part] = np.array(e.ids, "<u4").tobytes()
+
+
+def _slices(parts: list[str]) -> list[list[str]]:
+    """So many parts at once, as an encoding is far larger than its ids."""
+    return [parts[i : i + AT_ONCE] for i in range(0, len(parts), AT_ONCE)]
+
 
 _encoders: dict[str, PartEncoder] = {}
 
