@@ -44,18 +44,6 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-class KnownParts(dict):
-    """Ids by part; parts asked for in vain are noted, and have no bytes yet."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, part: str) -> bytes:
-        self.new.append(part)
-        return b""
-
-
 class PartEncoder:
     """Little-endian 32-bit ids of texts, by way of their parts."""
 
@@ -67,29 +55,23 @@ class PartEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.parts, self.ascii_parts = regex.compile(PARTS).findall, re.compile(ASCII_PARTS).findall
-        self.known = KnownParts()
+        self.known: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that begin with a space, written as this sign
         self.opens[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parted = [self.ascii_parts(t) if t.isascii() else self.parts(t) for t in texts]
-        known = self.known
-        if len(known) > CACHED_PARTS:
-            known.clear()
-        get, out, again = known.__getitem__, [], []
-        for k, p in enumerate(parted):
-            before = len(known.new)
-            out.append(b"".join(map(get, p)))
-            if len(known.new) > before:
-                again.append(k)
-        if again:
-            new = list(dict.fromkeys(known.new))
-            known.new.clear()
-            self.learn(new)
-            for k in again:
-                out[k] = b"".join(map(get, parted[k]))
-        return out
+        if len(self.known) > CACHED_PARTS:
+            self.known.clear()
+        get = self.known.get
+        ids = [list(map(get, p)) for p in parted]
+        gaps = [[i for i, x in enumerate(own) if x is None] for own in ids]
+        self.learn(list({p[i]: None for p, own in zip(parted, gaps, strict=True) for i in own}))
+        for p, own, gap in zip(parted, ids, gaps, strict=True):
+            for i in gap:
+                own[i] = get(p[i])
+        return [b"".join(own) for own in ids]
 
     def learn(self, new: list[str]) -> None:
         """Ids of parts not known yet. Joined words that begin with a space are parted as they are alone, so one call serves many."""
