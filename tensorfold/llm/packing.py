@@ -30,7 +30,7 @@ LENGTH = 1024
 END_ID = 2
 PER_TASK = 200_000
 CACHED_PARTS = 500_000
-AT_ONCE = 2_000
+AT_ONCE = 500
 VOCABULARY = "byte_bpe_50k.json"
 # Fixed value: the pattern by which the vocabulary's tokenizer parts a text.
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
