@@ -54,6 +54,9 @@ class PartEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        resize = getattr(self.tokenizer.model, "_resize_cache", None)
+        if resize:
+            resize(0)  # each part is asked for once, so its own memory of parts only costs
         self.parts, self.ascii_parts = regex.compile(PARTS).findall, re.compile(ASCII_PARTS).findall
         self.known: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
@@ -75,13 +78,15 @@ class PartEncoder:
 
     def learn(self, new: list[str]) -> None:
         """Ids of parts not known yet. Joined words that begin with a space are parted as they are alone, so one call serves many."""
-        words = [p for p in new if p[0] == " " and p[1:].isalpha()]
+        words, others = [], []
+        for p in new:
+            (words if p[0] == " " and p[1:].isalpha() else others).append(p)
         for some in _slices(words):
             ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
             raw, at = ids.tobytes(), [*(4 * np.flatnonzero(self.opens[ids])).tolist(), 4 * len(ids)]
             for part, i, j in zip(some, at[:-1], at[1:], strict=True):
                 self.known[part] = raw[i:j]
-        for some in _slices([p for p in new if not (p[0] == " " and p[1:].isalpha())]):
+        for some in _slices(others):
             for part, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 self.known[part] = np.array(e.ids, "<u4").tobytes()
 
