@@ -1,13 +1,16 @@
-"""Benchmark items in documents: latent semantic retrieval, then longest common subsequences and answer checks.
+"""Benchmark items in documents: exact candidates by rare words, then longest common subsequences, answer checks and latent semantic cosines.
 
 1. Words (lower-cased) are hashed to ``TERMS``. One pass over all documents gives the terms' frequencies by block and a sparse random
    sketch of the blocks' term counts (every block is added to one of ``SKETCH_ROWS`` sums, with a random sign), summed over tasks in a tree.
    Weighted by inverse block frequency, the sketch's singular vectors and values are a randomised SVD of the TF-IDF passages, cut
    to ``RANK``. Passages are two neighbouring blocks of ``STRIDE`` words.
-2. Items and passages are projected, scaled by the inverse singular values, and every passage of every document is held against every
-   item by cosine, in blocks. Items come in blocks of ``ITEM_BLOCK``, so what is broadcast has a bound, and a pass is made for each block.
-3. A candidate passage must share ``SHARED`` of the weight (by inverse block frequency) that it can share with the item. Then the words around it are compared with the item's: the longest common subsequence must hold ``COPY`` of
+2. Every block of every document is held against every item. By the rule of step 3 a passage that holds an item must have one of the item's
+   rarest words, as many of them as may be missing and one more (a copy), or its answer's rarest word (a paraphrase); and, counted with
+   repeats, as many of the item's words as the rule asks for. Only blocks that fail this are left out, so none that the rule accepts is.
+   Items come in blocks of ``ITEM_BLOCK``, so what is broadcast has a bound, and a pass is made for each block.
+3. The words around a candidate are compared with the item's: the longest common subsequence must hold ``COPY`` of
    the item's words, or ``PARAPHRASE`` of them and the answer, the item's last ``ANSWER`` words, in order within a passage of its length.
+4. The projections, scaled by the inverse singular values, of an item and the passage it was found in give the cosine; it decides nothing.
 
 Contract. Null and empty texts and items match nothing; items of fewer than ``LEAST_WORDS`` words are sought whole and in order (``COPY`` = 1). Repeated rows
 give their own matches once. Other columns pass through ``filtered``. Empty tables give empty results.
@@ -28,10 +31,9 @@ RANK = 128
 SKETCH_ROWS = 256
 POWER = 3
 STRIDE = 16
-COSINE = 0.25
 COPY, PARAPHRASE, ANSWER, LEAST_WORDS = 0.8, 0.6, 6, 5
-SHARED = 0.5
 ITEM_BLOCK = 2048
+CANDIDATES = 1 << 19
 SLAB = 256
 TREE = 256
 
@@ -133,6 +135,17 @@ def common(a: dict[int, int], m: int, words: list[int]) -> int:
     return m - v.bit_count()
 
 
+def _ranges(start: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges that have a start and a length, one after another."""
+    return np.arange(many.sum()) + np.repeat(start - (np.cumsum(many) - many), many)
+
+
+def _parts(x: np.ndarray, weight: np.ndarray):
+    """Runs of x of about ``CANDIDATES`` in weight each, so that what is made of one has a bound."""
+    cut = np.flatnonzero(np.diff(np.cumsum(weight) // CANDIDATES)) + 1
+    return [p for p in np.split(x, cut) if len(p)]
+
+
 class Items:
     """A block of items: projected, and as word places for the check."""
 
@@ -143,13 +156,6 @@ class Items:
         sums = np.zeros((len(ids), RANK), np.float32)
         np.add.at(sums, np.repeat(np.arange(len(ids)), np.diff(first)), projection[term])
         self.vectors = _unit(sums)
-        self.holds = np.zeros((len(ids), TERMS + 1), bool)
-        self.holds[np.repeat(np.arange(len(ids)), np.diff(first)), term] = True
-        self.flat = self.holds.reshape(-1)
-        n = np.diff(first)
-        weight = np.bincount(np.repeat(np.arange(len(ids)), n), weights=idf[term], minlength=len(ids))
-        self.least = (SHARED * weight * np.minimum(1, (2 * STRIDE - STRIDE // 2) / np.maximum(n, 1))).astype(np.float32)
-        self.idf = np.append(idf, 0).astype(np.float32)
         self.ids = ids
         self.words = [self.hashes[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)]
         self.places = []
@@ -158,6 +164,78 @@ class Items:
             for k, w in enumerate(own):
                 at[w] = at.get(w, 0) | 1 << k
             self.places.append(at)
+        self._bounds(term, first, idf)
+
+    def _bounds(self, term: np.ndarray, first: np.ndarray, idf: np.ndarray) -> None:
+        """What step 2 needs: each item's distinct words with their counts in it and in its answer, the least counts, and the items to look for at each word."""
+        self.vocabulary, word = np.unique(self.hashes, return_inverse=True)
+        m = np.diff(first)
+        self.reach = m + m // 2
+        self.need = np.where(m < LEAST_WORDS, m, np.ceil(COPY * m)).astype(np.int64)
+        self.least = np.where(m < LEAST_WORDS, m, np.ceil(PARAPHRASE * m)).astype(np.int64)
+        kinds, counts, answers, anchors = [], [], [], []
+        for k, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
+            own, n = np.unique(word[a:b], return_counts=True)
+            kinds.append(own)
+            counts.append(n)
+            tail = word[max(a, b - ANSWER) : b] if m[k] >= LEAST_WORDS else word[:0]
+            answers.append((own[:, None] == tail).sum(1))
+            rarest = a + np.argsort(-idf[term[a:b]], kind="stable")
+            at = set(word[rarest[: m[k] - self.need[k] + 1]].tolist())
+            if len(tail):
+                at.add(int(word[rarest[rarest >= b - ANSWER][0]]))
+            anchors += [(w, k) for w in at]
+        self.kinds, self.counts, self.answers = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (kinds, counts, answers))
+        self.kind_first = np.concatenate([[0], np.cumsum([len(x) for x in kinds], dtype=np.int64)]).astype(np.int64)
+        pairs = np.array(sorted(anchors), np.int64).reshape(-1, 2)
+        self.anchored = pairs[:, 1]
+        self.anchor_first = np.searchsorted(pairs[:, 0], np.arange(len(self.vocabulary) + 1))
+
+    def candidates(self, h: np.ndarray, first: np.ndarray, of_row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Blocks and items, in order: all that ``match`` can accept, of rows' word hashes, word bounds and block bounds."""
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if not len(self.vocabulary):
+            return none
+        kind = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
+        at = np.flatnonzero(self.vocabulary[kind] == h)
+        kind, n = kind[at], len(h) + 1
+        keys = np.sort(kind * n + at)
+        row = np.searchsorted(first, at, "right") - 1
+        block = of_row[row] + (at - first[row]) // STRIDE
+        many = self.anchor_first[kind + 1] - self.anchor_first[kind]
+        some = np.flatnonzero(many)
+        found = []
+        for occurrences in _parts(some, many[some]):
+            item = self.anchored[_ranges(self.anchor_first[kind[occurrences]], many[occurrences])]
+            found.append(np.unique(np.repeat(block[occurrences], many[occurrences]) * len(self.ids) + item))
+        if not found:
+            return none
+        near, item = np.divmod(np.unique(np.concatenate(found)), len(self.ids))
+        # First all that the windows with the word can hold, then each window by itself.
+        near, item = self._enough(keys, n, first, of_row, near, item, 2 * self.reach + 2 * STRIDE, 2 * self.reach + 3 * STRIDE)
+        row = np.searchsorted(of_row, near, "right") - 1
+        low = np.maximum(near - 2 - -(-self.reach[item] // STRIDE), of_row[row])
+        many = np.minimum(near + 1 + -(-self.reach[item] // STRIDE), of_row[row + 1]) - low
+        at = np.unique(_ranges(low, many) * len(self.ids) + np.repeat(item, many))
+        return self._enough(keys, n, first, of_row, *np.divmod(at, len(self.ids)), self.reach, 2 * STRIDE + self.reach)
+
+    def _enough(self, keys, n, first, of_row, block, item, before, after):
+        """The blocks and items where the words from so many before to so many after a block's start have what the rule asks for."""
+        keep = np.zeros(len(block), bool)
+        size = self.kind_first[item + 1] - self.kind_first[item]
+        for part in _parts(np.arange(len(block)), size):
+            b, k, many = block[part], item[part], size[part]
+            row = np.searchsorted(of_row, b, "right") - 1
+            start = first[row] + (b - of_row[row]) * STRIDE
+            low, high = np.maximum(start - before[k], first[row]), np.minimum(start + after[k], first[row + 1])
+            word = _ranges(self.kind_first[k], many)
+            base = self.kinds[word] * n
+            there = np.searchsorted(keys, base + np.repeat(high, many)) - np.searchsorted(keys, base + np.repeat(low, many))
+            bounds = np.cumsum(many) - many
+            shared = np.add.reduceat(np.minimum(there, self.counts[word]), bounds)
+            answer = np.logical_and.reduceat(there >= self.answers[word], bounds)
+            keep[part] = (shared >= self.need[k]) | answer & (shared >= self.least[k])
+        return block[keep], item[keep]
 
     def match(self, k: int, words: np.ndarray, at: int) -> tuple[int, bool] | None:
         """Common words and whether the answer is there, if words around a place hold the item."""
@@ -190,31 +268,23 @@ def _search(shared):
                 term = term_of(h)
                 starts, of_row = _blocks(first)
                 ends = np.append(starts[1:], len(term))
-                sums = _block_sums(projection, term, starts, ends)
                 row = np.repeat(np.arange(j - i), np.diff(of_row))
-                passages = sums.copy()
-                same = row[1:] == row[:-1]
-                passages[:-1][same] += sums[1:][same]
-                last = ends.copy()
-                last[:-1][same] = ends[1:][same]
-                cosine = _unit(passages) @ items.vectors.T
-                at, item = np.divmod(np.flatnonzero(cosine >= COSINE), len(items.ids))
-                padded = np.append(term, np.full(2 * STRIDE, TERMS))
-                common_weight = np.zeros(len(at), np.float32)
-                begin, end, flat = starts[at], last[at], item * (TERMS + 1)
-                for k in range(2 * STRIDE):
-                    t = np.where(begin + k < end, padded[begin + k], TERMS)
-                    common_weight += items.idf[t] * items.flat[flat + t]
-                enough = common_weight >= items.least[item]
-                at, item = at[enough], item[enough]
+                at, item = items.candidates(h, first, of_row)
                 best: dict[tuple[int, int], tuple] = {}
                 for p, k in zip(at.tolist(), item.tolist(), strict=True):
                     r = int(row[p])
-                    words = h[first[r] : first[r + 1]]
-                    hit = items.match(k, words, int(starts[p] - first[r]))
-                    if hit and hit > best.get((r, k), (0,)):
-                        best[r, k] = (*hit, float(cosine[p, k]))
-                found += [{"doc": int(doc[i + r]), "fp": int(fp[i + r]), "item_id": items.ids[k], "common_words": n, "item_words": len(items.words[k]), "answer": ok, "cosine": c} for (r, k), (n, ok, c) in best.items()]
+                    hit = items.match(k, h[first[r] : first[r + 1]], int(starts[p] - first[r]))
+                    if hit and hit >= best.get((r, k), ((0, False), []))[0]:
+                        best.setdefault((r, k), (hit, []))
+                        best[r, k] = (hit, [*best[r, k][1], p] if hit == best[r, k][0] else [p])
+                seen = np.unique(np.array([p for _, places in best.values() for p in places], np.int64))
+                passages = _block_sums(projection, term, starts[seen], ends[seen])
+                two = np.flatnonzero(seen + 1 < of_row[row[seen] + 1])
+                passages[two] += _block_sums(projection, term, starts[seen[two] + 1], ends[seen[two] + 1])
+                unit = _unit(passages)
+                for (r, k), ((n, ok), places) in best.items():
+                    cosine = float((unit[np.searchsorted(seen, places)] @ items.vectors[k]).max())
+                    found.append({"doc": int(doc[i + r]), "fp": int(fp[i + r]), "item_id": items.ids[k], "common_words": n, "item_words": len(items.words[k]), "answer": ok, "cosine": cosine})
             yield pa.RecordBatch.from_pylist(found, MATCH_ARROW)
 
     return search

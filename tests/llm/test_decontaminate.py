@@ -81,3 +81,40 @@ def test_edges(spark, make, world):
     extra = make(docs[:10] + [(None, None)]).selectExpr("*", "1 as fp", "2 as doc", "3 as item_id")
     out = D.filtered(extra, table(spark, items))
     assert out.columns == extra.columns and out.where("doc_id is null").count() == 1
+
+
+def everywhere(docs, items):
+    """(doc, item_id, common words, answer), by the last rule alone at every block."""
+    of = D.Items([k for k, _ in items], [t for _, t in items], D.np.zeros((D.TERMS + 1, D.RANK), "f4"), D.np.zeros(D.TERMS, "f4"))
+    out = set()
+    for i, t in docs:
+        h = D.X.word_hashes(*D.X.utf8(D.pa.array([t], D.pa.string())))[0]
+        for k, (key, _) in enumerate(items):
+            hits = [x for x in (of.match(k, h, at) for at in range(0, len(h), D.STRIDE)) if x]
+            if hits:
+                out.add((i, key, *max(hits)))
+    return out
+
+
+def found(spark, make, docs, items):
+    return {(r["doc"], r["item_id"], r["common_words"], r["answer"]) for r in D.matches(make(docs), table(spark, items)).collect()}
+
+
+def test_paraphrases_without_the_rarest_words(spark, make, world):
+    docs, items, _, _ = world
+    docs = [(i, t) for i, t in docs if i % 4]
+    rarity = {}
+    for _, t in docs:
+        for w in set(t.split()):
+            rarity[w] = rarity.get(w, 0) + 1
+    paraphrases = []
+    for k, (key, text) in enumerate(items):
+        own = text.split()
+        free = len(own) - D.ANSWER
+        for x in sorted(range(free), key=lambda x: rarity.get(own[x], 0))[: min(free, int(0.4 * len(own)))]:
+            own[x] = f"other{x}"
+        host = docs[k][1].split()
+        paraphrases.append((1000 + k, " ".join([*host[: len(host) // 2], *own, *host[len(host) // 2 :]])))
+    got = found(spark, make, docs + paraphrases, items)
+    assert {(1000 + k, key) for k, (key, _) in enumerate(items)} <= {x[:2] for x in got}
+    assert got == everywhere(docs + paraphrases, items)
