@@ -118,3 +118,19 @@ def test_paraphrases_without_the_rarest_words(spark, make, world):
     got = found(spark, make, docs + paraphrases, items)
     assert {(1000 + k, key) for k, (key, _) in enumerate(items)} <= {x[:2] for x in got}
     assert got == everywhere(docs + paraphrases, items)
+
+
+def test_short_items_verbatim(spark, make, world):
+    docs, _, _, _ = world
+    rng = random.Random(8)
+    hosts = [t.split() for _, t in docs if len(t.split()) > 100]
+    items, copies = [], []
+    for k in range(60):
+        n = (4, 6, 8, 12)[k % 4]
+        own, host = rng.choice(hosts), rng.choice(hosts)
+        a, cut = rng.randint(0, len(own) - n), rng.randint(0, len(host))
+        items.append((k, " ".join(own[a : a + n])))
+        copies.append((1000 + k, " ".join([*host[:cut], *own[a : a + n], *host[cut:]])))
+    got = found(spark, make, docs + copies, items)
+    assert {(1000 + k, k) for k in range(60)} <= {x[:2] for x in got}
+    assert got == everywhere(docs + copies, items)
