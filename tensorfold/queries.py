@@ -231,6 +231,37 @@ def q_tags(spark, d):
     return running(s, "s_suppkey", 1, "i").select("s_suppkey", (F.shiftleft((F.col("s_nationkey") + 1).cast("bigint"), P.tag_bits(s.count())) + F.col("i") + 1).alias("tag"))
 
 
+# The five operators whose given statements take a few ids, over whole tables.
+
+
+@query("SELECT n - 1 - vec_id AS out_row, vec_id, embedding[len(embedding)]::DOUBLE AS last_val FROM embeddings, (SELECT count(*) AS n FROM embeddings)")
+def q_slice_negative_whole(spark, d):
+    e = table(spark, d, "embeddings")
+    return T.slice_rows(e, "vec_id", None, None, -1, e.count()).select("out_row", "vec_id", F.element_at("embedding", -1).cast("double").alias("last_val"))
+
+
+@query("SELECT r.rank, e.vec_id, e.embedding[1]::DOUBLE AS first_val FROM (SELECT unnest(range(4)) AS rank) r, embeddings e")
+def q_broadcast_whole(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.element_at("embedding", 1).cast("double").alias("first_val"))
+    return X.broadcast(e, 4).select("rank", "vec_id", "first_val")
+
+
+@query("SELECT r.rank, count(e.vec_id) AS ntensors FROM (SELECT unnest(range(4)) AS rank) r LEFT JOIN embeddings e ON e.vec_id % 4 = r.rank GROUP BY 1")
+def q_push_whole(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id")
+    return X.per_rank(X.push(e, F.col("vec_id") % 4, 4), 4, F.count("*").alias("ntensors"), fill={"ntensors": 0})
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(CAST(l_extendedprice AS FLOAT) AS DOUBLE) AS price_f32, CAST(l_partkey AS INTEGER) AS partkey_i32 FROM lineitem")
+def q_cast_narrow_whole(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").cast("float").cast("double").alias("price_f32"), F.col("l_partkey").cast("int").alias("partkey_i32"))
+
+
+@query("SELECT (vec_id*64 + d)//8 AS row, (vec_id*64 + d) % 8 AS col, v::DOUBLE AS value FROM (SELECT vec_id, generate_subscripts(embedding,1)-1 AS d, unnest(embedding) AS v FROM embeddings)")
+def q_reshape_whole(spark, d):
+    return T.reshape_rows(table(spark, d, "embeddings"), "vec_id", "embedding", VEC, 8).withColumn("value", F.col("value").cast("double"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return q_shard_dim0(spark, d)
 
