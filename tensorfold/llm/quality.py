@@ -1,8 +1,9 @@
 """Quality by votes of the nearest labelled documents in a latent semantic space.
 
 Terms: each word's shape (runs of capitals, letters or digits count once, other characters stand for themselves), pairs of neighbouring shapes, and how
-large a share of words and lines is repeated, capital or marks. They are hashed to ``TERMS``. A bounded sample of labelled rows (at most ``SAMPLE``
-of each label, least hash first; rows held out never) gives inverse document frequencies and, by singular value decomposition,
+large a share of words and lines is repeated, capital or marks. They are hashed to ``TERMS``; the lower-cased words themselves to ``WORDS`` more, which together
+weigh ``WORD_SHARE`` times what the others do in the sample. A bounded sample of labelled rows (at most ``SAMPLE``
+of each label, least hash first; rows held out never) gives inverse document frequencies and, by a randomised singular value decomposition of its sparse rows (no matrix of terms by terms, none of rows by rows),
 ``RANK`` latent directions. The sample's unit vectors and labels are broadcast (at most 2 x SAMPLE x RANK floats). Every document is held
 against all of them by exact cosines in blocks; the ``NEIGHBOURS`` largest vote, weighted by similarity. Votes are weighted back to the labels'
 shares in all labelled rows.
@@ -23,13 +24,15 @@ from tensorfold.llm import rules
 from tensorfold.llm import text as X
 from tensorfold.llm.frames import batched
 
-TERMS = 1 << 11
+TERMS, WORDS = 1 << 12, 1 << 14
+WORD_SHARE = 1.0
 RANK = 48
 SAMPLE = 2048
 NEIGHBOURS = 25
 FOLDS, HELD_OUT = 4, 2
 CUT = 0.7
 ROWS = 512
+MORE, ROUNDS = 32, 8
 
 _shape = np.arange(256, dtype=np.uint8)
 _shape[65:91] = ord("A")
@@ -64,14 +67,30 @@ def terms(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
             found.append(np.full(int(times.sum()), X.mix(np.array([1 + 100 * k + least], np.uint64))[0]))
             rows.append(np.repeat(np.flatnonzero(hit), times))
     h = np.concatenate(found)
-    return (h >> X.U(64 - TERMS.bit_length() + 1)).astype(np.int64), np.concatenate(rows)
+    own, own_first = X.word_hashes(data, bounds)
+    found, rows = [_bucket(h, TERMS), TERMS + _bucket(X.mix(own), WORDS)], [*rows, np.repeat(np.arange(n), np.diff(own_first))]
+    return np.concatenate(found), np.concatenate(rows)
 
 
-def term_matrix(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """(rows, TERMS) damped counts."""
+def _bucket(h: np.ndarray, n: int) -> np.ndarray:
+    return (h >> X.U(64 - n.bit_length() + 1)).astype(np.int64)
+
+
+def term_rows(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's terms, in order, their damped counts, and the rows' bounds among them."""
     term, row = terms(data, bounds)
-    n = len(bounds) - 1
-    return np.log1p(np.bincount(row * TERMS + term, minlength=n * TERMS).reshape(n, TERMS)).astype(np.float32)
+    keys, count = np.unique(row * (TERMS + WORDS) + term, return_counts=True)
+    row, term = np.divmod(keys, TERMS + WORDS)
+    return term, np.log1p(count).astype(np.float32), np.searchsorted(row, np.arange(len(bounds)))
+
+
+def projected(term: np.ndarray, value: np.ndarray, first: np.ndarray, projection: np.ndarray) -> np.ndarray:
+    """Sums of each row's terms' projections."""
+    out = np.zeros((len(first) - 1, projection.shape[1]), np.float32)
+    some = np.flatnonzero(np.diff(first))
+    if len(some):
+        out[some] = np.add.reduceat(projection[term] * value[:, None], first[some], axis=0)
+    return out
 
 
 def held_out(doc_id: Column) -> Column:
@@ -83,8 +102,8 @@ def _sparse(batches):
         data, bounds = X.utf8(b.column("text"))
         label = b.column("quality").to_pylist()
         for i, j in _slices(bounds):
-            m = term_matrix(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
-            rows = [{"quality": label[i + k], "term": np.flatnonzero(v).tolist(), "value": v[np.flatnonzero(v)].tolist()} for k, v in enumerate(m)]
+            term, value, first = term_rows(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
+            rows = [{"quality": label[i + k], "term": term[x:y].tolist(), "value": value[x:y].tolist()} for k, (x, y) in enumerate(zip(first[:-1], first[1:], strict=True))]
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("quality", pa.int32()), ("term", pa.list_(pa.int32())), ("value", pa.list_(pa.float32()))]))
 
 
@@ -98,26 +117,48 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
+def _directions(term: np.ndarray, value: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The leading right singular vectors of sparse rows, by subspace iteration; only a slab of rows is dense at a time."""
+    size = TERMS + WORDS
+    basis = np.linalg.qr(np.random.Generator(np.random.PCG64(7)).standard_normal((size, RANK + MORE), np.float32))[0]
+    for _ in range(ROUNDS):
+        onto, small = np.zeros_like(basis), np.zeros((basis.shape[1], basis.shape[1]))
+        for a in range(0, len(first) - 1, 256):
+            bounds = first[a : a + 257]
+            slab = np.zeros((len(bounds) - 1, size), np.float32)
+            slab[np.repeat(np.arange(len(slab)), np.diff(bounds)), term[bounds[0] : bounds[-1]]] = value[bounds[0] : bounds[-1]]
+            seen = slab @ basis
+            onto += slab.T @ seen
+            small += seen.T.astype(np.float64) @ seen
+        within = np.linalg.eigh(small)[1][:, ::-1]
+        leading, basis = basis @ within[:, :RANK].astype(np.float32), np.linalg.qr(onto)[0]
+    return leading
+
+
 class Model:
-    def __init__(self, matrix: np.ndarray, labels: np.ndarray, share: float):
+    def __init__(self, term: np.ndarray, value: np.ndarray, first: np.ndarray, labels: np.ndarray, share: float):
         self.share = share
         n = max(1, len(labels))
-        idf = np.log((1 + n) / (1 + (matrix > 0).sum(axis=0))) + 0.1
-        weighted = _unit(matrix * idf)
-        gram = weighted.T @ weighted
-        values, basis = np.linalg.eigh(gram.astype(np.float64))
-        self.projection = (idf[:, None] * basis[:, ::-1][:, :RANK]).astype(np.float32)
-        self.vectors = _unit(matrix @ self.projection).astype(np.float32)
+        idf = (np.log((1 + n) / (1 + np.bincount(term, minlength=TERMS + WORDS))) + 0.1).astype(np.float32)
+        weighted = value * idf[term]
+        words = term >= TERMS
+        scale = np.sqrt(WORD_SHARE * (weighted[~words] ** 2).sum() / max((weighted[words] ** 2).sum(), 1e-9))
+        idf[TERMS:] *= scale
+        weighted[words] *= scale
+        norm = np.sqrt(np.bincount(np.repeat(np.arange(len(labels)), np.diff(first)), weights=weighted.astype(np.float64) ** 2, minlength=len(labels)))
+        weighted = (weighted / np.maximum(np.repeat(norm, np.diff(first)), 1e-9)).astype(np.float32)
+        self.projection = (idf[:, None] * _directions(term, weighted, first)).astype(np.float32)
+        self.vectors = np.concatenate([np.zeros((0, RANK), np.float32), *(_unit(projected(term[x[0] : x[-1]], value[x[0] : x[-1]], x - x[0], self.projection)) for a in range(0, len(labels), 256) for x in [first[a : a + 257]])])
         self.labels = labels.astype(np.float32)
         # Each label's votes are scaled to its share in all labelled rows.
         ones = max(float(labels.sum()), 1e-9)
         self.weights = np.where(labels == 1, share / ones, (1 - share) / max(n - ones, 1e-9)).astype(np.float32) * n
 
-    def scores(self, matrix: np.ndarray) -> np.ndarray:
+    def scores(self, term: np.ndarray, value: np.ndarray, first: np.ndarray) -> np.ndarray:
+        filled = np.diff(first) > 0
         if not len(self.labels):
-            return np.full(len(matrix), self.share)
-        filled = matrix.any(axis=1)
-        cosine = _unit(matrix @ self.projection) @ self.vectors.T
+            return np.full(len(filled), self.share)
+        cosine = _unit(projected(term, value, first, self.projection)) @ self.vectors.T
         k = min(NEIGHBOURS, cosine.shape[1])
         near = np.argpartition(cosine, cosine.shape[1] - k, axis=1)[:, -k:]
         weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0) ** 8 * self.weights[near] + 1e-9
@@ -134,10 +175,9 @@ def fit(rows: DataFrame, labels: DataFrame) -> Model:
     chosen = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for q in (0, 1)]
     sample = rows.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").select("text", "quality")
     got = sample.mapInArrow(_sparse, "quality int, term array<int>, value array<float>").orderBy("quality", "term", "value").limit(4 * SAMPLE).toArrow()
-    matrix = np.zeros((got.num_rows, TERMS), np.float32)
-    for k, (t, v) in enumerate(zip(got.column("term"), got.column("value"), strict=True)):
-        matrix[k, t.values.to_numpy()] = v.values.to_numpy()
-    return Model(matrix, got.column("quality").to_numpy(), share)
+    term, value = got.column("term").combine_chunks(), got.column("value").combine_chunks()
+    first = np.concatenate([[0], np.cumsum(term.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)]).astype(np.int64)
+    return Model(term.flatten().to_numpy(zero_copy_only=False).astype(np.int64), value.flatten().to_numpy(zero_copy_only=False), first, got.column("quality").to_numpy(), share)
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -150,7 +190,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for b in batches:
             data, bounds = X.utf8(b.column("text"))
             for i, j in _slices(bounds):
-                s = model.scores(term_matrix(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]))
+                s = model.scores(*term_rows(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array(s)], names=["doc_id", "score"])
 
     out = rows.mapInArrow(score, "doc_id bigint, score double")

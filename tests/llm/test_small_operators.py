@@ -178,3 +178,13 @@ def test_html_tree_drops_what_a_site_repeats(spark):
     assert all("Our story" not in r["text"] and r["text"].endswith(str(r["page_id"])) for r in got)
     few = html.extracted(spark.createDataFrame(rows[:3], "page_id bigint, url string, html string")).collect()
     assert all(r["text"].startswith("Our story") for r in few)
+
+
+def test_quality_by_words_alone(spark, make):
+    rng = random.Random(5)
+    own = [["".join(rng.choices("abcdefghij", k=6)) for _ in range(60)] for _ in range(2)]
+    kinds = [k % 2 for k in range(400)]
+    docs = make([(k, " ".join(rng.choice(own[j]) for _ in range(80))) for k, j in enumerate(kinds)])
+    labels = spark.createDataFrame([(k, j, 0) for k, j in enumerate(kinds)], "doc_id bigint, quality int, toxic int")
+    got = [(r["score"], kinds[r["doc_id"]]) for r in quality.scored(docs, labels).collect() if r["held_out"]]
+    assert min(s for s, j in got if j) > max(s for s, j in got if not j)
