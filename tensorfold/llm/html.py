@@ -1,8 +1,10 @@
 """Main text of pages by site style trees.
 
 1. Pages are parsed to blocks: the text between two block bounds, under the path of block elements (tag and classes or id) above it.
-   Elements that by tag, role, class or id are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or
-   comments go with all they hold. Menus and footers here differ from page to page, so entropy alone would keep them.
+   Elements that by tag, role, or a whole class or id are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or
+   comments go with all they hold. Menus and footers here differ from page to page, so entropy alone would keep them. A name's part says
+   nothing ("has-sidebar"), and no name makes noise of an article or main element, of what holds the only ones with text, or, on a page without
+   such text, of what holds most of the text.
 2. The style tree of a site merges its pages by path. For each host and path: the entropy of the contents there over the host's pages
    and that of the presentations (the tags that follow one another below the path), each over the logarithm of the pages. A branch's
    importance is the larger one. Equal pages count once. All sums are grouped with map-side combining, so a host with very many pages is no task's.
@@ -36,8 +38,8 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 MAIN = frozenset(("article", "main"))
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 NOISE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|gdpr|notices?|alert|popup|modal|overlay|sidebar\w*|side|aside|widgets?|menus?|nav\w*|breadcrumbs?|masthead|header|topbar|footer\w*|copyright|"
-    r"comments?|commentlist|respond|repl(?:y|ies)|disqus|discussion|share|sharing|social|related|recommend\w*|newsletter|subscri\w*|signup|login|search|pagination|pager|skip|toolbar)(?=$|[\s_-])",
+    r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|gdpr|notices?|alert|popup|modal|overlay|sidebar\w*|side|aside|widgets?|menus?|nav\w*|breadcrumbs?|masthead|header|topbar|footer\w*|copyright|"
+    r"comments?|commentlist|respond|repl(?:y|ies)|disqus|discussion|share|sharing|social|related|recommend\w*|newsletter|subscri\w*|signup|login|search|pagination|pager|skip|toolbar)",
     re.I,
 )
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)>|<[!?][^>]*(?:>|$)|<(?=/?[a-zA-Z])[^<]*$", re.S)
@@ -46,18 +48,19 @@ _MARKS = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+
 
 def blocks(html: str) -> tuple[list[tuple[str, bool, bool, str]], list[tuple[str, str]]]:
     """(path, in an article or main element, plain, text) of each block that is not noise, and each path's tags below it."""
-    out: list[tuple[str, bool, bool, str]] = []
-    below: dict[str, list[str]] = {}
-    stack: list[tuple[str, str, bool, bool, bool]] = [("", "", False, False, True)]  # tag, path, noise, main, plain
+    out: list[tuple[tuple[int, ...], tuple[str, bool, bool, str]]] = []
+    below: list[tuple[tuple[int, ...], str, str]] = []
+    stack: list[tuple[str, str, bool, bool, bool, tuple[int, ...]]] = [("", "", False, False, True, ())]  # tag, path, noise, main, plain, elements with a noise word's name
+    inside: list[bool] = []  # of each element with such a name: in an article or main element
     held: list[str] = []
     at, end = 0, len(html)
 
     def flush():
         text = " ".join(unescape("".join(held)).split())
         held.clear()
-        _, path, noise, main, plain = stack[-1]
+        _, path, noise, main, plain, doubts = stack[-1]
         if text and not noise:
-            out.append((path, main, plain, text))
+            out.append((doubts, (path, main, plain, text)))
 
     def close(tag):
         for k in range(len(stack) - 1, 0, -1):
@@ -85,7 +88,8 @@ def blocks(html: str) -> tuple[list[tuple[str, bool, bool, str]], list[tuple[str
                 close(tag)
             continue
         named = " ".join(a or b or c for k, a, b, c in _MARKS.findall(marks) if k.lower() != "role").lower()
-        if tag not in BLOCKS and not (named and NOISE_WORDS.search(named)):
+        doubtful = any(NOISE_WORDS.fullmatch(x) for x in named.split())
+        if tag not in BLOCKS and not doubtful:
             continue
         flush()
         if tag in VOID:
@@ -99,16 +103,40 @@ def blocks(html: str) -> tuple[list[tuple[str, bool, bool, str]], list[tuple[str
         for other in CLOSES.get(tag, ()):
             if any(s[0] == other for s in stack[-3:]):
                 close(other)
-        _, path, noise, main, plain = stack[-1]
+        _, path, noise, main, plain, doubts = stack[-1]
         roles = {(a or b or c).lower() for k, a, b, c in _MARKS.findall(marks) if k.lower() == "role"}
-        noise = noise or tag in NOISE or bool(roles & NOISE_ROLES) or bool(named and tag not in ("html", "body") and NOISE_WORDS.search(named)) or (tag == "header" and not main)
+        noise = noise or tag in NOISE or bool(roles & NOISE_ROLES) or (tag == "header" and not main)
+        if doubtful and tag not in ("html", "body") and tag not in MAIN and "main" not in roles and not (main and "header" in named.split()):
+            doubts = (*doubts, len(inside))
+            inside.append(main)
         own = f"{path}/{tag}" + (f".{'.'.join(sorted(named.split()))}" if named else "")
         if not noise:
-            below.setdefault(path, []).append(tag)
+            below.append((doubts, path, tag))
         main = main or tag in MAIN or "main" in roles
-        stack.append((tag, own, noise, main, not named and (plain or tag in MAIN)))
+        stack.append((tag, own, noise, main, not named and (plain or tag in MAIN), doubts))
     flush()
-    return out, [(p, ">".join(dict.fromkeys(t))) for p, t in below.items()]
+    dropped = _noise_by_name(out, inside)
+    tags: dict[str, list[str]] = {}
+    for doubts, path, tag in below:
+        if not dropped.intersection(doubts):
+            tags.setdefault(path, []).append(tag)
+    return [b for doubts, b in out if not dropped.intersection(doubts)], [(p, ">".join(dict.fromkeys(t))) for p, t in tags.items()]
+
+
+def _noise_by_name(out: list[tuple[tuple[int, ...], tuple[str, bool, bool, str]]], inside: list[bool]) -> set[int]:
+    """Of the elements with a noise word's name, those that are noise."""
+    dropped = set(range(len(inside)))
+    if not dropped or any(b[1] and not doubts for doubts, b in out):
+        return dropped
+    within = {k for doubts, b in out if b[1] for k in doubts if not inside[k]}
+    if any(b[1] and within.issuperset(doubts) for doubts, b in out):
+        return dropped - within
+    held = dict.fromkeys(dropped, 0)
+    for doubts, b in out:
+        for k in doubts:
+            held[k] += len(b[3])
+    most = sum(len(b[3]) for _, b in out) / 2
+    return {k for k, n in held.items() if n <= most}
 
 
 BLOCK = pa.struct([("path", pa.string()), ("main", pa.bool_()), ("plain", pa.bool_()), ("text", pa.string())])

@@ -188,3 +188,16 @@ def test_quality_by_words_alone(spark, make):
     labels = spark.createDataFrame([(k, j, 0) for k, j in enumerate(kinds)], "doc_id bigint, quality int, toxic int")
     got = [(r["score"], kinds[r["doc_id"]]) for r in quality.scored(docs, labels).collect() if r["held_out"]]
     assert min(s for s, j in got if j) > max(s for s, j in got if not j)
+
+
+def test_html_names_that_only_contain_a_noise_word():
+    story = "<h1>Head</h1><p>" + "word " * 20 + "</p>"
+    side = "<div class='sidebar'>Side</div>"
+    texts = lambda h: " ".join(b[3] for b in html.blocks(h)[0])
+    whole = "Head " + "word " * 19 + "word"
+    for name in ("content has-sidebar", "content no-sidebar", "layout right-sidebar"):
+        assert texts(f"<body><div class='{name}'>{story}</div>{side}</body>") == whole
+    assert texts(f"<body><article class='post comments-open'><div class='entry-header'><h1>Head</h1></div><p>{'word ' * 20}</p><div class='comments'>me too</div></article>{side}</body>") == whole
+    assert texts(f"<body><div class='search'><article>{story}<div class='comments'>me too</div></article></div>{side}</body>") == whole
+    assert texts(f"<body><article>{story}</article><div class='related'><article>{'other ' * 90}</article></div></body>") == whole
+    assert texts(f"<body><div class='widget'>{story}</div>{side}</body>") == whole
