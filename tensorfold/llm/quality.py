@@ -3,7 +3,7 @@
 Terms: each word's shape (runs of capitals, letters or digits count once, other characters stand for themselves), pairs of neighbouring shapes, and how
 large a share of words and lines is repeated, capital or marks. They are hashed to ``TERMS``; the lower-cased words themselves to ``WORDS`` more, which together
 weigh ``WORD_SHARE`` times what the others do in the sample. A bounded sample of labelled rows (at most ``SAMPLE``
-of each label, least hash first; rows held out never) gives inverse document frequencies and, by a randomised singular value decomposition of its sparse rows (no matrix of terms by terms, none of rows by rows),
+ids of each label and as many of their rows, least hash first, equal rows once; rows held out never) gives inverse document frequencies and, by a randomised singular value decomposition of its sparse rows (no matrix of terms by terms, none of rows by rows),
 ``RANK`` latent directions. The sample's unit vectors and labels are broadcast (at most 2 x SAMPLE x RANK floats). Every document is held
 against all of them by exact cosines in blocks; the ``NEIGHBOURS`` largest vote, weighted by similarity. Votes are weighted back to the labels'
 shares in all labelled rows.
@@ -173,8 +173,10 @@ def fit(rows: DataFrame, labels: DataFrame) -> Model:
     counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     share = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
     chosen = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for q in (0, 1)]
-    sample = rows.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").select("text", "quality")
-    got = sample.mapInArrow(_sparse, "quality int, term array<int>, value array<float>").orderBy("quality", "term", "value").limit(4 * SAMPLE).toArrow()
+    found = rows.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").select("doc_id", "text", "quality").distinct()
+    # Ids with many texts take no room from the other label.
+    kept = [found.where(F.col("quality") == q).orderBy(F.xxhash64("text"), "doc_id", "text").limit(SAMPLE) for q in (0, 1)]
+    got = kept[0].unionByName(kept[1]).select("text", "quality").mapInArrow(_sparse, "quality int, term array<int>, value array<float>").toArrow().sort_by("quality")
     term, value = got.column("term").combine_chunks(), got.column("value").combine_chunks()
     first = np.concatenate([[0], np.cumsum(term.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)]).astype(np.int64)
     return Model(term.flatten().to_numpy(zero_copy_only=False).astype(np.int64), value.flatten().to_numpy(zero_copy_only=False), first, got.column("quality").to_numpy(), share)

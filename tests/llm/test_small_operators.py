@@ -201,3 +201,15 @@ def test_html_names_that_only_contain_a_noise_word():
     assert texts(f"<body><div class='search'><article>{story}<div class='comments'>me too</div></article></div>{side}</body>") == whole
     assert texts(f"<body><article>{story}</article><div class='related'><article>{'other ' * 90}</article></div></body>") == whole
     assert texts(f"<body><div class='widget'>{story}</div>{side}</body>") == whole
+
+
+def test_quality_sample_keeps_both_labels(spark, make, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE", 20)
+    rng = random.Random(9)
+    ids = [k for k in range(400) if zlib.crc32(str(k).encode()) % 4 != 2]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in ids], "doc_id bigint, quality int, toxic int")
+    rows = [(k, prose(rng, 0 if k % 2 else 2)) for k in ids for _ in range(1 if k % 2 else 12)]
+    model = quality.fit(make(rows).select("doc_id", "text"), labels)
+    assert sorted(model.labels.tolist()) == [0] * 20 + [1] * 20
+    again = quality.fit(make(rows + rows).select("doc_id", "text"), labels)
+    assert again.labels.tolist() == model.labels.tolist() and (again.projection == model.projection).all()
