@@ -193,7 +193,7 @@ def test_quality_by_words_alone(spark, make):
 def test_html_names_that_only_contain_a_noise_word():
     story = "<h1>Head</h1><p>" + "word " * 20 + "</p>"
     side = "<div class='sidebar'>Side</div>"
-    texts = lambda h: " ".join(b[3] for b in html.blocks(h)[0])
+    texts = lambda h: " ".join(t for node, t in html.Page(h).texts if html.PRIOR[(node + (1 << 63)) & 7] > 0)
     whole = "Head " + "word " * 19 + "word"
     for name in ("content has-sidebar", "content no-sidebar", "layout right-sidebar"):
         assert texts(f"<body><div class='{name}'>{story}</div>{side}</body>") == whole
@@ -213,3 +213,58 @@ def test_quality_sample_keeps_both_labels(spark, make, monkeypatch):
     assert sorted(model.labels.tolist()) == [0] * 20 + [1] * 20
     again = quality.fit(make(rows + rows).select("doc_id", "text"), labels)
     assert again.labels.tolist() == model.labels.tolist() and (again.projection == model.projection).all()
+
+
+def test_html_broken_markup_takes_no_longer():
+    import time
+
+    cases = ["<a " + '"' * 10_000, "<a x=\"" * 20_000, "<a '='" * 20_000, "<div class='ad'>" * 20_000 + "x" + "</p>" * 20_000, "<" * 50_000, "<script " * 20_000, "<script></script " * 20_000, "<!--" * 20_000, "<a class" + " " * 50_000, "<li><p>" * 20_000]
+    for case in cases:
+        began = time.perf_counter()
+        html.Page(case)
+        assert time.perf_counter() - began < 2, case[:20]
+    assert [t for _, t in html.Page("<p>one <a \" href=x>two</a> <b <i>three < four").texts] == ["one two three < four"]
+
+
+def test_html_evidence_matches_plain_entropy(spark):
+    rng = random.Random(4)
+    rows = [(k, f"https://{'ab'[k % 5 == 0]}.example.org/{k}", f"<body><div class='x'>{rng.choice(['same', 'same', 'other'])}</div><ul>{''.join(f'<li>{rng.randint(0, 9)}</li>' for _ in range(rng.randint(1, 4)))}</ul><p>text {k}</p></body>") for k in range(40)]
+    rows += rows[:7]
+    got = {(r["host"], r["node"]): r for r in html.style_tree(html.sites(spark.createDataFrame(rows, "page_id bigint, url string, html string"))).collect()}
+    want = {}
+    for host in ("a.example.org", "b.example.org"):
+        pages = {}
+        for h in {h for _, u, h in rows if f"//{host}/" in u}:
+            page = html.Page(h)
+            found = frozenset((node, kind, v) for kind, pairs in enumerate((page.texts, page.shown)) for node, v in pairs)
+            pages[found] = None
+        for node, kind in {x[:2] for found in pages for x in found}:
+            values = [[v for n, k, v in found if (n, k) == (node, kind)] for found in pages]
+            m = sum(map(bool, values))
+            count = Counter(v for vs in values for v in vs)
+            n = sum(count.values())
+            h = -sum(c / n * np.log(c / n) for c in count.values())
+            e = (h - np.log(n / m)) / np.log(m) if m > 1 else 1.0
+            old = want.get((host, node), (0, 0.0))
+            want[host, node] = max(old[0], m), max(old[1], min(max(e, 0), 1))
+    assert {k: r["pages"] for k, r in got.items()} == {k: m for k, (m, _) in want.items()}
+    for k, r in got.items():
+        assert abs(r["evidence"] - want[k][1]) < 1e-6
+        part = (k[1] + (1 << 63)) & 7
+        assert abs(r["importance"] - html.importance(html.PRIOR[part], r["pages"], r["evidence"])) < 1e-9
+
+
+def test_html_every_removal_is_the_trees(spark, monkeypatch):
+    rng = random.Random(1)
+    body = lambda k: " ".join(rng.choices(["sun", "rain", "hill", "road"], k=12)) + f" {k}"
+    rows = [(k, f"https://s.example.org/{k}", f"<body><nav>Menu {k}</nav><div>Our story since 1900</div><section><p>{body(k)}</p></section></body>") for k in range(30)]
+    pages = html.sites(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
+    low = html.removed_nodes(pages)
+    cut = {r["page_id"]: r["text"] for r in html.cut(pages, low).collect()}
+    whole = {r["page_id"]: r["text"] for r in html.cut(pages, low.limit(0)).collect()}
+    assert all(whole[k].startswith(f"Menu {k} Our story since 1900 ") and whole[k].endswith(cut[k]) and not {"Menu", "story"} & set(cut[k].split()) for k in cut)
+    monkeypatch.setattr(html, "BROADCAST_NODES", -1)
+    assert {r["page_id"]: r["text"] for r in html.cut(pages, low).collect()} == cut
+    # Without evidence the unnamed block stays: it goes by its entropy, not by a name.
+    monkeypatch.setattr(html, "SLOPE", 0.0)
+    assert all("Our story" in r["text"] and "Menu" not in r["text"] for r in html.extracted(pages.select("page_id", "url", "html")).collect())
