@@ -1,12 +1,11 @@
 """Best-fit packing of tokenised documents with certified sequence counts.
 
-1. Tokens: texts are parted by the tokenizer's own pattern, and ``tokenizers`` gives the ids of each distinct part once (parts are encoded
-   apart from each other, so ids equal those of the whole text). A closing id follows each document.
+1. Tokens: ``tokenizers`` gives the ids of each distinct part of the texts once (see ``tokens``); they equal those of the whole text. A closing id follows each document.
 2. A document longer than a sequence is cut; all its pieces but the first are full and fill a sequence each.
 3. The others are dealt evenly to partitions of at most ``per_task`` pieces, packed by best-fit decreasing. A lower bound from
    dual-feasible functions certifies a partition whose count meets it. The others give up the pieces of their
    emptiest sequences, enough that a sequence could be saved, and these are dealt and packed again, as long as
-   a round saves sequences. No task ever holds more than about ``per_task`` pieces.
+   a round saves sequences. No task ever holds more than about ``per_task`` pieces. Each piece carries its partition's count and bound.
 
 Contract. A null or empty text is the closing id alone. Rows are packed row by row, also those that share a doc_id; a null doc_id
 stays null. Other columns don't matter. An empty table gives an empty result.
@@ -14,8 +13,6 @@ stays null. Other columns don't matter. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
 from math import ceil
 
@@ -25,17 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tensorfold.llm.frames import batched, lean, written
+from tensorfold.llm.tokens import encoder
 
 LENGTH = 1024
 END_ID = 2
 PER_TASK = 200_000
-CACHED_PARTS = 500_000
-AT_ONCE = 500
+CHARACTERS = 1 << 22
 VOCABULARY = "byte_bpe_50k.json"
-# Fixed value: the pattern by which the vocabulary's tokenizer parts a text.
-PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: The same for texts of ASCII characters only, in which it is faster.
-ASCII_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ \t\n\v\f\rA-Za-z0-9]+|[ \t\n\v\f\r]+(?![^ \t\n\v\f\r])|[ \t\n\v\f\r]+"
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -44,67 +37,6 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-class PartEncoder:
-    """Little-endian 32-bit ids of texts, by way of their parts."""
-
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import regex
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        resize = getattr(self.tokenizer.model, "_resize_cache", None)
-        if resize:
-            resize(0)  # each part is asked for once, so its own memory of parts only costs
-        self.parts, self.ascii_parts = regex.compile(PARTS).findall, re.compile(ASCII_PARTS).findall
-        self.known: dict[str, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab()
-        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that begin with a space, written as this sign
-        self.opens[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parted = [self.ascii_parts(t) if t.isascii() else self.parts(t) for t in texts]
-        if len(self.known) > CACHED_PARTS:
-            self.known.clear()
-        get = self.known.get
-        ids = [list(map(get, p)) for p in parted]
-        gaps = [[i for i, x in enumerate(own) if x is None] for own in ids]
-        self.learn(list({p[i]: None for p, own in zip(parted, gaps, strict=True) for i in own}))
-        for p, own, gap in zip(parted, ids, gaps, strict=True):
-            for i in gap:
-                own[i] = get(p[i])
-        return [b"".join(own) for own in ids]
-
-    def learn(self, new: list[str]) -> None:
-        """Ids of parts not known yet. Joined words that begin with a space are parted as they are alone, so one call serves many."""
-        words, others = [], []
-        for p in new:
-            (words if p[0] == " " and p[1:].isalpha() else others).append(p)
-        for some in _slices(words):
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            raw, at = ids.tobytes(), [*(4 * np.flatnonzero(self.opens[ids])).tolist(), 4 * len(ids)]
-            for part, i, j in zip(some, at[:-1], at[1:], strict=True):
-                self.known[part] = raw[i:j]
-        for some in _slices(others):
-            for part, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[part] = np.array(e.ids, "<u4").tobytes()
-
-
-def _slices(parts: list[str]) -> list[list[str]]:
-    """So many parts at once, as an encoding is far larger than its ids."""
-    return [parts[i : i + AT_ONCE] for i in range(0, len(parts), AT_ONCE)]
-
-
-_encoders: dict[str, PartEncoder] = {}
-
-
-def encoder(path: str) -> PartEncoder:
-    if path not in _encoders:
-        _encoders[path] = PartEncoder(path)
-    return _encoders[path]
-
-
 def cuts(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
     """(start, end) of a document's pieces: the first takes what full ones leave."""
     if n <= length:
@@ -117,6 +49,17 @@ def cuts(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
 PIECES = "uid bigint, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
+def _batches(texts: list[str]):
+    """Ranges of texts with about ``CHARACTERS`` in all; a longer one makes a range of its own."""
+    first = size = 0
+    for k, t in enumerate(texts):
+        if size and size + len(t) > CHARACTERS:
+            yield first, k
+            first, size = k, 0
+        size += len(t) + 1
+    yield first, len(texts)
+
+
 def pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """A row for each piece, with a number of its own; on demand also its ids as little-endian 32-bit numbers."""
 
@@ -125,18 +68,22 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_I
         from pyspark import TaskContext
 
         uid = TaskContext.get().partitionId() << 33
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], "<u4")
         enc = encoder(path)
         for b in batches:
             doc_ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            for at in range(0, len(texts), 250):
+            for i, j in _batches(texts):
                 rows = []
-                for doc_id, raw in zip(doc_ids[at : at + 250], enc.encode(texts[at : at + 250]), strict=True):
-                    raw += end
+                ids, bounds = enc.encode(texts[i:j])
+                ids = ids.astype("<u4", copy=False)
+                for doc_id, x, y in zip(doc_ids[i:j], bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    raw = np.concatenate([ids[x:y], end]).tobytes()
                     for k, (s, e) in enumerate(cuts(len(raw) // 4, length)):
                         own = raw[4 * s : 4 * e]
-                        rows.append((uid, doc_id, k, s, e - s, zlib.crc32(own), own))
+                        rows.append((uid, doc_id, k, s, e - s, zlib.crc32(own), own if with_ids else None))
                         uid += 1
+                if not rows:
+                    continue
                 cols = list(zip(*rows, strict=True))
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 arrays = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
@@ -195,69 +142,76 @@ def best_fit(lengths: np.ndarray, size: int = LENGTH) -> tuple[np.ndarray, np.nd
 
 
 def pack_partition(uids: np.ndarray, lengths: np.ndarray, base: int, size: int = LENGTH) -> tuple:
-    """Places pieces; tells which lie in sequences that may be packed again, how many sequences exceed the bound, and how many there are."""
+    """Places pieces; tells which lie in sequences that may be packed again, how many sequences there are, and how many there must be."""
     order = np.lexsort((uids, -lengths))
     uids, lengths = uids[order], lengths[order]
     where, offset, used = best_fit(lengths, size)
-    gap = len(used) - lower_bound(lengths, size)
+    bound = lower_bound(lengths, size)
     again = np.zeros(len(used), bool)
-    if gap:
+    if gap := len(used) - bound:
         emptiest = np.argsort(used, kind="stable")
         free = np.cumsum(size - used[emptiest])
         again[emptiest[: int(np.searchsorted(free, (gap + 1) * size)) + 1]] = True
-    return uids, lengths, base + where, offset, again[where], gap, len(used)
+    return uids, lengths, base + where, offset, again[where], len(used), bound
+
+
+PLACED = "uid bigint, length bigint, sequence_id bigint, offset bigint, again boolean, bins bigint, bound bigint"
+PLACEMENT = ["uid", "sequence_id", "offset", "bins", "bound"]
 
 
 def placements(items: DataFrame, per_task: int = PER_TASK, size: int = LENGTH) -> DataFrame:
-    """(uid, sequence_id, offset) of pieces shorter than a sequence."""
+    """(uid, sequence_id, offset, bins, bound) of pieces shorter than a sequence.
+
+    ``bins`` and ``bound`` are the sequences of the partition that placed the piece, and the least that any packing of its pieces needs: equal ones are
+    the certificate that this partition can't be packed better.
+    """
 
-    def pack(round_):
+    def pack(base, step):
         def run(key, table):
-            k = key[0].as_py()
-            uids, lengths, seq, offset, again, _, n = pack_partition(table.column("uid").to_numpy(), table.column("length").to_numpy(), (round_ << 52) + (k << 32), size)
-            return pa.table({"uid": uids, "length": lengths, "sequence_id": seq, "offset": offset, "again": again, "n": pa.array(np.full(len(uids), n, np.int64))})
+            uids, lengths, seq, offset, again, bins, bound = pack_partition(table.column("uid").to_numpy(), table.column("length").to_numpy(), base + key[0].as_py() * step, size)
+            return pa.table({"uid": uids, "length": lengths, "sequence_id": seq, "offset": offset, "again": again, "bins": pa.array(np.full(len(uids), bins, np.int64)), "bound": pa.array(np.full(len(uids), bound, np.int64))})
 
         return run
 
-    done, todo, before, round_ = [], items.select("uid", "length"), None, 0
-    while (count := todo.count()) and round_ < 1 << 10:
+    done, todo, before, base, round_ = [], items.select("uid", "length"), None, 0, 0
+    while count := todo.count():  # every round but the last saves a sequence, so there is a last one
         n = max(1, ceil(count / per_task))
         dealt = todo.withColumn("k", F.pmod(F.xxhash64("uid", F.lit(round_)), F.lit(n)))
-        placed = written(dealt.groupBy("k").applyInArrow(pack(round_), "uid bigint, length bigint, sequence_id bigint, offset bigint, again boolean, n bigint"), "packed")
-        if before is not None:
-            now = placed.agg(F.countDistinct("sequence_id")).first()[0]
-            if now >= before[0]:  # nothing saved: what the round before made stands
-                done.append(before[1])
-                break
+        placed = written(dealt.groupBy("k").applyInArrow(pack(base, count), PLACED), "packed")
+        if before is not None and placed.agg(F.countDistinct("sequence_id")).first()[0] >= before[0]:  # nothing saved: what the round before made stands
+            done.append(before[1])
+            break
         done.append(placed.where("not again"))
         left = placed.where("again")
         if n == 1:
             done.append(left)
             break
         before = (left.agg(F.countDistinct("sequence_id")).first()[0], left)
-        todo, round_ = left.select("uid", "length"), round_ + 1
+        # A partition has at most as many sequences as there are pieces, so numbers of partitions and rounds don't meet.
+        todo, base, round_ = left.select("uid", "length"), base + n * count, round_ + 1
     if not done:
-        return items.select("uid", F.lit(0).cast("bigint").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset")).where("false")
+        return items.select("uid", *[F.lit(0).cast("bigint").alias(c) for c in PLACEMENT[1:]]).where("false")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.select("uid", "sequence_id", "offset")
+    return out.select(*PLACEMENT)
 
 
-def packed(docs: DataFrame, path: str | None = None, per_task: int = PER_TASK) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece."""
-    cut = written(pieces(docs, path or vocabulary_path()), "pieces")
-    full = cut.where(F.col("length") == LENGTH).select("*", (-F.col("uid") - 1).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+def _placed(cut: DataFrame, per_task: int) -> DataFrame:
+    one = F.lit(1).cast("bigint")
+    full = cut.where(F.col("length") == LENGTH).select("*", (-F.col("uid") - 1).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"), one.alias("bins"), one.alias("bound"))
     rest = cut.where(F.col("length") < LENGTH)
-    return full.unionByName(rest.join(placements(rest, per_task), "uid")).drop("uid")
+    return full.unionByName(rest.join(placements(rest, per_task), "uid"))
+
+
+def packed(docs: DataFrame, path: str | None = None, per_task: int = PER_TASK) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset, bins, bound) of every piece."""
+    return _placed(written(pieces(docs, path or vocabulary_path()), "pieces"), per_task).drop("uid")
 
 
 def sequences(docs: DataFrame, path: str | None = None, per_task: int = PER_TASK) -> DataFrame:
     """(sequence_id, n_tokens, ids array<int>): what a trainer reads. A sequence has at most 1024 tokens, so its group is small."""
-    cut = written(pieces(docs, path or vocabulary_path(), with_ids=True), "pieces")
-    full = cut.where(F.col("length") == LENGTH).select((-F.col("uid") - 1).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"), "ids")
-    rest = cut.where(F.col("length") < LENGTH)
-    own = full.unionByName(rest.join(placements(rest, per_task), "uid").select("sequence_id", "offset", "ids"))
+    own = _placed(written(pieces(docs, path or vocabulary_path(), with_ids=True), "pieces"), per_task).select("sequence_id", "offset", "ids")
 
     def join(table):
         ids = np.frombuffer(b"".join(table.sort_by("offset").column("ids").to_pylist()), "<u4")

@@ -51,27 +51,51 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+#: Powers of the base up to a tile, and of the tile's power, so that any power is a product of two.
+TILE = 1 << 16
+_powers: dict[int, np.ndarray] = {}
 
 
-def _grown(kind: str, n: int) -> np.ndarray:
-    if len(_powers[kind]) < n:
-        x = np.full(max(n, CHUNK_BYTES + 64), BASE if kind == "up" else INVERSE, np.uint64)
+def _accumulated(base: int, n: int) -> np.ndarray:
+    key = (base, n)
+    if key not in _powers:
+        x = np.full(n, base, np.uint64)
         x[0] = 1
-        _powers[kind] = np.multiply.accumulate(x)
-    return _powers[kind]
+        _powers[key] = np.multiply.accumulate(x)
+    return _powers[key]
 
 
-class Runs:
-    """Hashes of any runs of a buffer's bytes, from one pass over it. Equal runs have equal hashes, wherever they lie."""
+def _down(at: np.ndarray) -> np.ndarray:
+    """The base's inverse to each power."""
+    low = _accumulated(int(INVERSE), TILE)
+    if not len(at) or int(at.max()) < TILE:
+        return low[at]
+    high = _accumulated(pow(int(INVERSE), TILE, 1 << 64), 1 << (int(at.max()) // TILE).bit_length())
+    return low[at & (TILE - 1)] * high[at >> 16]
+
 
-    def __init__(self, data: np.ndarray):
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(BYTE_CODE[data] * _grown("up", len(data))[: len(data)], out=self.sums[1:])
-        self.down = _grown("down", len(data) + 1)
+class Runs:
+    """Hashes of any runs of a buffer's bytes (or of other symbols that have codes), from one pass over it. Equal runs have equal hashes, wherever they lie.
+
+    Eight bytes a symbol are held, besides tiles.
+    """
+
+    def __init__(self, data: np.ndarray, codes: np.ndarray = BYTE_CODE):
+        n = len(data)
+        self.sums = np.empty(n + 1, np.uint64)
+        self.sums[0] = 0
+        up, scale = _accumulated(int(BASE), TILE), 1
+        for i in range(0, n, TILE):
+            part = codes[data[i : i + TILE]] * up[: min(TILE, n - i)]
+            if i:
+                part *= U(scale)
+            np.cumsum(part, out=self.sums[i + 1 : i + 1 + len(part)])
+            if i:
+                self.sums[i + 1 : i + 1 + len(part)] += self.sums[i]
+            scale = scale * pow(int(BASE), TILE, 1 << 64) % (1 << 64)
 
     def raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * self.down[start]
+        return (self.sums[end] - self.sums[start]) * _down(start)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix(self.raw(start, end) + (end - start).astype(np.uint64))
@@ -79,7 +103,17 @@ class Runs:
     def fixed(self, k: int) -> np.ndarray:
         """Of every run of k bytes."""
         n = len(self.sums) - k
-        return mix((self.sums[k:] - self.sums[:n]) * self.down[:n]) if n > 0 else np.zeros(0, np.uint64)
+        if n <= 0:
+            return np.zeros(0, np.uint64)
+        out, down, scale = self.sums[k:] - self.sums[:n], _accumulated(int(INVERSE), TILE), 1
+        for i in range(0, n, TILE):
+            part = out[i : i + TILE]
+            part *= down[: len(part)]
+            if i:
+                part *= U(scale)
+            part[:] = mix(part)
+            scale = scale * pow(int(INVERSE), TILE, 1 << 64) % (1 << 64)
+        return out
 
 
 def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

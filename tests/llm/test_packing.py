@@ -8,34 +8,52 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tensorfold.llm import packing as P
+from tensorfold.llm import tokens as T
 
 
 @pytest.fixture(scope="module")
 def reference():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(P.vocabulary_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(P.vocabulary_path())
 
 
-ODD = ["a\x1cb \x1f\x85 x", "tab\t\tx  y \n\n z ", "it's we'll I'd ''s", "日本 語　x y z​q", "<|endoftext|> x", "٣٤ ½ x²", "é नमस्", " ", "\r\n", "👩‍👩 a"]
+def encoded(encoder, texts):
+    ids, bounds = encoder.encode(texts)
+    return [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+ODD = ["a <|endoftext|> x", "<|endoftext|><|endoftext|>", "<|endoftext", "", "'t's 're'x 'lll don't'd  's\t's '", "\u088f\U00010940 \u1c89 x", "a" + "\u00a0" * 3 + "b  \u2003c", "tail \n ", "a\x1cb \x1f\x85 x", "tab\t\tx  y \n\n z ", "it's we'll I'd ''s", "日本 語　x y z​q", "<|endoftext|> x", "٣٤ ½ x²", "é नमस्", " ", "\r\n", "👩‍👩 a"]
 
 
 def test_parts_give_the_ids_of_whole_texts(reference):
-    e = P.PartEncoder(P.vocabulary_path())
-    assert [list(np.frombuffer(x, "<u4")) for x in e.encode(ODD)] == [reference.encode(t, add_special_tokens=False).ids for t in ODD]
+    assert encoded(T.Encoder(P.vocabulary_path()), ODD) == [reference.encode(t, add_special_tokens=False).ids for t in ODD]
+
+
+def test_tables_texts_have_the_ids_of_whole_texts(reference, monkeypatch):
+    import pyarrow.parquet as pq
+
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()]
+    want = [e.ids for e in reference.encode_batch_fast(texts, add_special_tokens=False)]
+    assert encoded(T.Encoder(P.vocabulary_path()), texts) == want
+    # Small tiles, and a memory that is emptied and merged all the time.
+    monkeypatch.setattr(T, "TILE", 300)
+    monkeypatch.setattr(T, "KNOWN_PARTS", 200)
+    monkeypatch.setattr(T, "RECENT_PARTS", 20)
+    assert encoded(T.Encoder(P.vocabulary_path()), texts[:200]) == want[:200]
+
 
+SIGNS = st.sampled_from(list("aZ09 ' \t\n.strvelmd'é٣日\u00a0\u0301") + ["<|endoftext|>", "'ll", "'re", "  "])
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(max_size=40))
-def test_any_text(text):
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=40), st.lists(SIGNS, max_size=30).map("".join)), max_size=4))
+def test_any_text(texts):
     from tokenizers import Tokenizer
 
     global KEPT
-    KEPT = globals().get("KEPT") or (P.PartEncoder(P.vocabulary_path()), Tokenizer.from_file(P.vocabulary_path()))
-    KEPT[1].encode_special_tokens = True
-    assert list(np.frombuffer(KEPT[0].encode([text])[0], "<u4")) == KEPT[1].encode(text, add_special_tokens=False).ids
+    KEPT = globals().get("KEPT") or (T.Encoder(P.vocabulary_path()), Tokenizer.from_file(P.vocabulary_path()))
+    assert encoded(KEPT[0], texts) == [KEPT[1].encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def fewest(lengths, size):
@@ -95,7 +113,26 @@ def test_packed(make, reference):
     lengths = [r["length"] for r in P.packed(make(pairs)).collect()]
     assert P.lower_bound(np.array(lengths)) <= n <= P.lower_bound(np.array(lengths)) + 1 and many <= n + 3
     assert P.packed(make([])).count() == 0
+    for r in P.packed(make(pairs), per_task=20).collect():
+        assert r["bins"] >= r["bound"] >= 1
     twice = P.packed(make([(1, "a b"), (1, "a b"), (None, "c")])).collect()
     assert len(twice) == 3 and len({r["sequence_id"] for r in twice}) == 1
     seqs = P.sequences(make([(1, "a b"), (2, "c")])).collect()
     assert sorted(seqs[0]["ids"]) == sorted([*reference.encode("a b").ids, 2, *reference.encode("c").ids, 2])
+
+
+def test_rounds_lose_no_piece(spark):
+    rng = random.Random(6)
+    sizes = [rng.randint(200, 1023) for _ in range(3000)]
+    items = spark.createDataFrame(list(enumerate(sizes)), "uid bigint, length bigint")
+    rows = P.placements(items, per_task=40).collect()
+    assert sorted(r["uid"] for r in rows) == list(range(3000))
+    by = {}
+    for r in rows:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], sizes[r["uid"]]))
+    for own in by.values():
+        own.sort()
+        assert [o for o, _ in own] == [0, *itertools.accumulate(n for _, n in own)][:-1] and sum(n for _, n in own) <= 1024
+    whole = P.best_fit(np.array(sizes))[2]
+    alone = sum(len(P.best_fit(np.array(sizes[k : k + 40]))[2]) for k in range(0, 3000, 40))
+    assert len(whole) - 5 <= len(by) < alone
