@@ -85,6 +85,16 @@ def original_id(doc: Column) -> Column:
     return F.when(doc != LAST_ID, doc)
 
 
+def joined_left(rows: DataFrame, small: DataFrame, key: str, entries: int, most: int, *deal_by: str, salts: int = 16) -> DataFrame:
+    """Rows with the columns of a table that has one row for each key. The table is broadcast while it has at most ``most`` entries; beyond
+    that both are dealt by key and salt, so that a key with very many rows is ``salts`` tasks' work, and Spark splits those further."""
+    if entries <= most:
+        return rows.join(F.broadcast(small), key, "left")
+    salted = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(*deal_by), F.lit(salts)).cast("int"))
+    return dealt.join(salted.hint("merge"), [key, "__salt"], "left").drop("__salt")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that links lead to, for every node of a link between different nodes.
 

@@ -32,14 +32,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from tensorfold.llm.frames import batched, lean, written
+from tensorfold.llm.frames import batched, joined_left, lean, written
 
 #: Declared parts of a page and the log odds that they are main text.
 NOISE, OUTSIDE, FREE, INSIDE, PLAIN = range(5)
 PRIOR = {NOISE: -6.0, OUTSIDE: -6.0, FREE: 1.0, INSIDE: 3.0, PLAIN: 6.0}
 SLOPE, PIVOT, SMOOTHING = 8.0, 0.5, 10.0
 BROADCAST_NODES = 1 << 18
-SALTS = 16
 # Elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
@@ -265,11 +264,8 @@ def _cut(batches):
 
 def cut(rows: DataFrame, low: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of pages without the nodes that are listed for their site."""
-    if (low.agg(F.sum(F.size("low"))).first()[0] or 0) <= BROADCAST_NODES:
-        joined = rows.join(F.broadcast(low), "host", "left")
-    else:
-        salted = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["host", "salt"], "left")
+    entries = low.agg(F.sum(F.size("low"))).first()[0] or 0
+    joined = joined_left(rows, low, "host", entries, BROADCAST_NODES, "page_id", "url")
     return joined.select("page_id", "url", "html", "low").mapInArrow(_cut, CUT).withColumn("n_chars", F.char_length("text").cast("bigint"))
 
 

@@ -1,21 +1,23 @@
 """Language of documents: Bayesian fusion of text likelihoods, declared markup language, address suffix and host priors.
 
 Text: byte trigrams (ASCII lower-cased) hashed to ``BUCKETS``; their counts by language come from all rows that declare one of the
-``languages``, by grouped aggregation. One more class, ``und``, has all trigrams alike. A text's log-likelihood is tempered to the
-weight of ``TEXT_WEIGHT`` trigrams at most, as neighbouring trigrams are not independent.
-Declared markup language, address suffix: each multiplies the odds of its language by a fixed factor.
+``languages``, by grouped aggregation. Each language's rates are mixed with ``SHARED`` of the rates of all languages, so a trigram that one
+has not shown yet speaks against it with bounded weight only. One more class, ``und``, has all trigrams alike. As trigrams
+overlap, ``OVERLAP`` of them count as one, and a text as ``TEXT_WEIGHT`` of these at most.
+Declared markup language (of an html element in the text), address suffix: each multiplies the odds of its language by a fixed factor.
 Host: prior counts by host are smoothed towards those of its domain, these towards those of all rows (Dirichlet weights
-``SMOOTHING``), where a row counts with its posterior from the other evidence.
+``SMOOTHING``), where a row counts with its posterior from the other evidence, in billionths, so that sums don't depend on their order.
 
 Rejected (kept false): rows whose best class is ``und``, or whose posterior is below ``least``.
 
 Contract. A null or empty text has no trigrams and is rejected as ``und`` with what evidence remains; a null host, declaration or
-suffix is no evidence. Rows alike get the same answer. Other columns pass through ``filtered``. An empty table gives an empty result.
+suffix is no evidence. Of classes with equal posteriors the first in the list wins. Rows alike get the same answer. Other columns pass through ``filtered``. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from html import unescape
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +25,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tensorfold.llm import text as X
-from tensorfold.llm.frames import LAST_ID, batched, identified, lean, written
+from tensorfold.llm.frames import LAST_ID, batched, identified, joined_left, lean, written
 
 LANGUAGES = ("de", "en", "es", "fr")
 UND = "und"
 BUCKETS = 1 << 14
-TEXT_WEIGHT = 60.0
+TEXT_WEIGHT, OVERLAP = 60.0, 3.0
+SHARED, UNSEEN = 0.2, 0.05
+COUNTED = 1_000_000_000
+BROADCAST_HOSTS = 1 << 16
 SMOOTHING = {"host": 20.0, "domain": 50.0, "all": 4.0}
 DECLARED_ODDS = 20.0
 SUFFIX_ODDS = 5.0
@@ -70,8 +75,9 @@ def fit(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, text: str = "te
     found = known.mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros(len(languages) * BUCKETS)
     table[found.column("cell").to_numpy()] = found.column("n").to_numpy()
-    table = table.reshape(len(languages), BUCKETS)
-    table = np.log((table + 0.05) / (table + 0.05).sum(axis=1, keepdims=True))
+    table = table.reshape(len(languages), BUCKETS) + UNSEEN
+    table /= table.sum(axis=1, keepdims=True)
+    table = np.log((1 - SHARED) * table + SHARED * table.mean(axis=0))
     return np.vstack([table, np.full(BUCKETS, -np.log(BUCKETS))]).astype(np.float32)
 
 
@@ -89,7 +95,7 @@ def text_scores(rows: DataFrame, table: np.ndarray, keep: list[str]) -> DataFram
                 code, row = trigrams(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
                 n = np.bincount(row, minlength=j - i)
                 for c in range(len(t)):
-                    out[i:j, c] = np.bincount(row, weights=t[c][code], minlength=j - i) * np.minimum(1, TEXT_WEIGHT / np.maximum(n, 1))
+                    out[i:j, c] = np.bincount(row, weights=t[c][code], minlength=j - i) * np.minimum(1 / OVERLAP, TEXT_WEIGHT / np.maximum(n, 1))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, len(t), dtype=np.int32)), pa.array(out.reshape(-1)))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), lists], names=[*keep, "loglik"])
 
@@ -109,7 +115,7 @@ def _plus(a: Column, b: Column) -> Column:
 def fused(scored: DataFrame, languages: tuple[str, ...] = LANGUAGES, least: float = LEAST) -> DataFrame:
     """Of (.., host, domain, declared, suffix, loglik): adds lang, confidence and kept.
 
-    Host and domain counts are sums by host with map-side combining; their tables join back on the host, where Spark splits a host with very many rows.
+    Host and domain counts are sums by host with map-side combining; their table joins back by host (see ``joined_left``).
     """
     k = len(languages)
     evidence = F.col("loglik")
@@ -117,22 +123,21 @@ def fused(scored: DataFrame, languages: tuple[str, ...] = LANGUAGES, least: floa
         evidence = _plus(evidence, F.array(*[F.when(F.col(column) == c, np.log(odds)).otherwise(0.0) for c in (*languages, UND)]))
     flat = [np.log((1 - UND_PRIOR) / k)] * k + [np.log(UND_PRIOR)]
     rows = written(scored.withColumn("evidence", evidence).withColumn("p", _softmax(_plus(F.col("evidence"), F.array(*map(F.lit, map(float, flat)))))), "evidence")
-    sums = [F.sum(F.element_at("p", c + 1)).alias(f"s{c}") for c in range(k)]
-    every = rows.agg(*sums).first()
-    total = sum(x or 0 for x in every)
-    base = [((x or 0) + SMOOTHING["all"] / k) / (total + SMOOTHING["all"]) for x in every]
+    sums = [F.sum(F.round(F.element_at("p", c + 1) * COUNTED).cast("bigint")).alias(f"s{c}") for c in range(k)]
+    every = [(x or 0) / COUNTED for x in rows.agg(*sums).first()]
+    base = [(x + SMOOTHING["all"] / k) / (sum(every) + SMOOTHING["all"]) for x in every]
 
     def prior(counts: list[Column], above: list, weight: float) -> list[Column]:
         n = sum(counts[1:], counts[0])
         return [(c + weight * a) / (n + weight) for c, a in zip(counts, above, strict=True)]
 
-    hosts = rows.where("host is not null").groupBy("host", "domain").agg(*sums)
+    hosts = rows.where("host is not null").groupBy("host").agg(F.min("domain").alias("domain"), *sums)
     domains = hosts.groupBy("domain").agg(*[F.sum(f"s{c}").alias(f"d{c}") for c in range(k)])
     hosts = hosts.join(domains, "domain", "left")
-    by_domain = prior([F.coalesce(f"d{c}", F.lit(0.0)) for c in range(k)], base, SMOOTHING["domain"])
-    by_host = prior([F.col(f"s{c}") for c in range(k)], by_domain, SMOOTHING["host"])
-    hosts = hosts.select("host", F.array(*by_host).alias("prior")).groupBy("host").agg(F.first("prior").alias("prior"))
-    rows = rows.join(hosts, "host", "left")
+    by_domain = prior([F.coalesce(f"d{c}", F.lit(0)) / COUNTED for c in range(k)], base, SMOOTHING["domain"])
+    by_host = prior([F.col(f"s{c}") / COUNTED for c in range(k)], by_domain, SMOOTHING["host"])
+    hosts = written(hosts.select("host", F.array(*by_host).alias("prior")), "hosts")
+    rows = joined_left(rows, hosts, "host", hosts.count(), BROADCAST_HOSTS, "loglik")
     own = F.coalesce("prior", F.array(*[F.lit(float(b)) for b in base]))
     logs = F.concat(F.transform(own, lambda x: F.log(x * (1 - UND_PRIOR))), F.array(F.lit(float(np.log(UND_PRIOR)))))
     rows = rows.withColumn("posterior", _softmax(_plus(F.col("evidence"), logs))).withColumn("confidence", F.array_max("posterior"))
@@ -140,16 +145,34 @@ def fused(scored: DataFrame, languages: tuple[str, ...] = LANGUAGES, least: floa
     return rows.withColumn("kept", (F.col("lang") != UND) & (F.col("confidence") >= least) & F.exists("loglik", lambda x: x != 0)).drop("evidence", "p", "loglik", "prior", "posterior")
 
 
+def _address(host: Column) -> list[Column]:
+    """A host with its domain and the language of its suffix."""
+    host = F.nullif(F.lower(host), F.lit(""))
+    domain = F.nullif(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1), F.lit(""))
+    suffix = F.element_at(F.create_map(*[F.lit(x) for kv in SUFFIXES.items() for x in kv]), F.regexp_extract(host, r"\.([a-z]+)$", 1))
+    return [host.alias("host"), domain.alias("domain"), suffix.alias("suffix")]
+
+
+def _declared(markup: Column) -> Column:
+    """The two letters that a text's first html element with a lang declares; no angle bracket is passed, so time is in proportion to the text."""
+    return F.lower(F.substring(F.regexp_extract(markup, r"(?i)<html\b[^<>]*?\blang\s*=\s*[\"']?([a-z]+)", 1), 1, 2)).alias("declared")
+
+
 def identify_documents(docs: DataFrame, table: np.ndarray | None = None) -> DataFrame:
-    """(doc, fp, lang, confidence, kept) of each row of documents. The source stands for the host; there is no address or markup, so the text and the source decide."""
+    """(doc, fp, lang, confidence, kept) of each row of documents. The source stands for the host; where it is an address, its domain and suffix count, and where
+    a text has an html element, its declaration. The lang column is what the text model learns from, and no evidence."""
     table = fit(docs) if table is None else table
-    rows = identified(docs, F.col("source").cast("string").alias("host"))
-    scored = text_scores(rows, table, ["doc", "fp", "host"])
-    none = F.lit(None).cast("string")
-    return fused(scored.select("*", F.lit("").alias("domain"), none.alias("declared"), none.alias("suffix"))).select("doc", "fp", "lang", "confidence", "kept")
+    rows = identified(docs, *_address(F.col("source").cast("string")), _declared(F.col("text").cast("string")))
+    return fused(text_scores(rows, table, ["doc", "fp", "host", "domain", "declared", "suffix"])).select("doc", "fp", "lang", "confidence", "kept")
 
 
-_TAGS = re.compile(r"<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
+# Each alternative takes what it begins with up to its end or the text's, so no text is read twice.
+_TAGS = re.compile(r"<(script|style)\b.*?(?:</\1\s*+>|\Z)|<[/!?a-zA-Z][^>]*+(?:>|\Z)", re.S | re.I)
+
+
+def plain_text(html: str | None) -> str:
+    """The text of markup without tags, scripts and styles, with character references decoded."""
+    return unescape(_TAGS.sub(" ", html or ""))
 
 
 def identify_pages(pages: DataFrame, table: np.ndarray) -> DataFrame:
@@ -157,18 +180,12 @@ def identify_pages(pages: DataFrame, table: np.ndarray) -> DataFrame:
 
     @F.pandas_udf("string")
     def plain(html):
-        return html.fillna("").map(lambda h: _TAGS.sub(" ", h))
-
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)", 1))
-    rows = pages.select(
-        "page_id",
-        plain("html").alias("text"),
-        F.nullif(host, F.lit("")).alias("host"),
-        F.nullif(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1), F.lit("")).alias("domain"),
-        F.lower(F.substring(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?i)<html[^>]*\blang=[\"']?([a-zA-Z]+)", 1), 1, 2)).alias("declared"),
-        F.element_at(F.create_map(*[F.lit(x) for kv in SUFFIXES.items() for x in kv]), F.regexp_extract(host, r"\.([a-z]+)$", 1)).alias("suffix"),
-    )
+        return html.map(plain_text, na_action=None)
+
     batched(pages.sparkSession)
+    host = F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)", 1)
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    rows = pages.select("page_id", plain(html).alias("text"), *_address(host), _declared(html))
     return fused(text_scores(rows, table, ["page_id", "host", "domain", "declared", "suffix"])).select("page_id", "lang", "confidence", "kept")
 
 
