@@ -41,6 +41,12 @@ class UnknownDType(ArchiveError): ...
 class DimMismatch(ArchiveError): ...
 
 
+class ShapeMismatch(ArchiveError): ...
+
+
+class UnequalTensors(ArchiveError): ...
+
+
 class EnlargingCast(ArchiveError): ...
 
 

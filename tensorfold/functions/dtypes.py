@@ -47,6 +47,14 @@ DTYPES: dict[str, DType] = {
 }
 
 
+# Integer types whose bytes carry small and packed floats.
+CARRIERS = {"F8_E5M2": "I8", "F8_E4M3": "I8", "F8_E8M0": "U8", "F4": "U8"}
+
+
+def carrier_of(name: str) -> str:
+    return CARRIERS.get(name, dtype(name).name)
+
+
 def dtype(name: str) -> DType:
     """The type of that name; UnknownDType names the known ones."""
     try:

@@ -7,6 +7,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tensorfold.errors import ShapeMismatch
+
 
 def ceil_div(a, b):
     return -(-a // b)
@@ -59,6 +61,23 @@ class Frame:
         return out
 
 
+def resolved_shape(shape, to) -> list[int]:
+    """A shape to take the elements of another one in, with an extent of -1 filled in."""
+    have = 1
+    for n in shape:
+        have *= n
+    known = 1
+    for n in to:
+        known *= n if n >= 0 else 1
+    out = [n if n >= 0 else have // max(known, 1) for n in to]
+    total = 1
+    for n in out:
+        total *= n
+    if total != have or sum(n < 0 for n in to) > 1:
+        raise ShapeMismatch(f"{list(shape)} has {have} elements and can't become {list(to)}")
+    return out
+
+
 def nelem(shape: Column) -> Column:
     return F.aggregate(shape, F.lit(1).cast("bigint"), lambda a, x: a * x)
 

@@ -6,6 +6,7 @@ A rank is a label. Rows move only where a caller groups by it or asks for :func:
 from __future__ import annotations
 
 from functools import reduce
+from math import prod
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,6 +75,27 @@ def multi_cols(parts: list[tuple[DataFrame, int]], world: int) -> DataFrame:
     return concat(out)
 
 
+def joined(parts: list[tuple[DataFrame, list[int]]], dim: int, world: int = 1) -> DataFrame:
+    """Element rows of n-d tensors, each sharded along ``dim`` and joined along it within the rank.
+
+    ``parts`` are (element rows with their place ``pos``, shape). Rank and place in the rank's joined tensor follow from the extents by arithmetic, so nothing
+    moves. With one rank this is concatenation along any dimension.
+    """
+    require_same_extents([s for _, s in parts], dim)
+    blocks = [ceil_div(s[dim], world) for _, s in parts]
+    rank = F.col("rank")
+    widths = [F.least(F.greatest(F.lit(s[dim]) - rank * b, F.lit(0)), F.lit(b)) for (_, s), b in zip(parts, blocks, strict=True)]
+    whole, out, before = sum(widths, F.lit(0)), [], F.lit(0)
+    for (df, shape), block, width in zip(parts, blocks, widths, strict=True):
+        n, inner = shape[dim], max(1, prod(shape[dim + 1 :]))
+        at = F.pmod(F.expr(f"pos div {inner}"), F.lit(n))
+        placed = df.withColumn("rank", F.lit(0).cast("bigint") if world == 1 else F.floor(at / block).cast("bigint"))
+        place = (F.expr(f"pos div {n * inner}") * whole + before + at - rank * block) * inner + F.expr(f"pos % {inner}")
+        out.append(placed.withColumn("pos", place.cast("bigint")))
+        before = before + width
+    return concat(out)
+
+
 def colocate(df: DataFrame, world: int) -> DataFrame:
     """Rows of a rank in the same partition, for a consumer that works rank by rank."""
     return df.repartition(world, "rank")

@@ -8,8 +8,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tensorfold.functions import dtypes as D
+from tensorfold.functions.shapes import resolved_shape, unravel
 
 ELEMENTS = "path string, name string, pos bigint, value double, raw bigint"
+#: Elements of a batch.
+SLICE = 1 << 16
+
+
+def _labels(value: str, n: int) -> pa.Array:
+    """One string for n rows, built without a Python object a row."""
+    raw = value.encode()
+    return pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * len(raw)), pa.py_buffer(raw * n)])
+
+
+def _parts(block: dict, width: int = 1):
+    """(first element, type, bytes) of a block in runs of about ``SLICE`` elements, whole multiples of ``width``."""
+    size = D.dtype(block["dtype"]).size
+    step = max(1, SLICE // width) * width
+    step += step % 2  # packed values come in pairs
+    raw = memoryview(block["payload"])
+    for at in range(0, block["elem_count"], step):
+        yield at, raw[int(at * size) : int(min(at + step, block["elem_count"]) * size)]
+
+
+def _rows_of(b: pa.RecordBatch):
+    """A batch's rows as dicts; payloads are not copied."""
+    fixed = b.drop_columns(["payload"]).to_pylist()
+    for r, payload in zip(fixed, b.column("payload"), strict=True):
+        yield r | {"payload": payload.as_buffer()}
 
 
 def elements(blocks: DataFrame, cast: str = D.AUTO, mode: str = "load") -> DataFrame:
@@ -17,36 +43,52 @@ def elements(blocks: DataFrame, cast: str = D.AUTO, mode: str = "load") -> DataF
 
     def decode(batches):
         for b in batches:
-            for r in b.to_pylist():
-                raw, kind = r["payload"], r["dtype"]
-                if cast != D.AUTO:
-                    raw, kind = D.convert(kind, raw, cast, mode), cast
-                values = D.decode(kind, raw).astype("f8")
-                n = len(values)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["path"]] * n, pa.string()), pa.array([r["name"]] * n, pa.string()), pa.array(np.arange(n) + r["elem_start"], pa.int64()), pa.array(values), pa.array(D.bits(kind, raw), pa.int64())],
-                    names=["path", "name", "pos", "value", "raw"],
-                )
+            for r in _rows_of(b):
+                for at, raw in _parts(r):
+                    kind = r["dtype"]
+                    if cast != D.AUTO:
+                        raw, kind = D.convert(kind, raw, cast, mode), cast
+                    values = D.decode(kind, raw).astype("f8")
+                    n = len(values)
+                    yield pa.RecordBatch.from_arrays(
+                        [_labels(r["path"], n), _labels(r["name"], n), pa.array(np.arange(n) + (r["elem_start"] + at), pa.int64()), pa.array(values), pa.array(D.bits(kind, raw), pa.int64())],
+                        names=["path", "name", "pos", "value", "raw"],
+                    )
 
     return blocks.mapInArrow(decode, ELEMENTS)
 
 
 def rows(blocks: DataFrame) -> DataFrame:
-    """(name, row, vec) of the tensors with two dimensions; a block holds whole rows unless a row is wider than a block."""
+    """(name, row, vec) of the tensors with two dimensions. Rows that lie whole in a block come straight from it; the parts of rows wider than a block are joined by row."""
 
     def decode(batches):
         for b in batches:
-            for r in b.to_pylist():
+            for r in _rows_of(b):
                 if len(r["shape"]) != 2 or not r["shape"][1]:
                     continue
                 wide = r["shape"][1]
-                values = D.decode(r["dtype"], r["payload"]).astype("f8").reshape(-1, wide)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["name"]] * len(values), pa.string()), pa.array(np.arange(len(values)) + r["elem_start"] // wide, pa.int64()), pa.ListArray.from_arrays(np.arange(len(values) + 1, dtype="i4") * wide, values.reshape(-1))],
-                    names=["name", "row", "vec"],
-                )
+                if r["elem_start"] % wide or r["elem_count"] % wide:  # a part of a row
+                    first, offset = divmod(r["elem_start"], wide)
+                    vec = D.decode(r["dtype"], r["payload"]).astype("f8")
+                    at = 0
+                    while at < len(vec):
+                        n = min(wide - offset, len(vec) - at)
+                        yield pa.RecordBatch.from_arrays([pa.array([r["name"]]), pa.array([first], pa.int64()), pa.array([offset], pa.int64()), pa.array([wide], pa.int64()), pa.array([vec[at : at + n]], pa.list_(pa.float64()))], names=ROW_PARTS)
+                        first, offset, at = first + 1, 0, at + n
+                    continue
+                for at, raw in _parts(r, wide):
+                    values = D.decode(r["dtype"], raw).astype("f8")
+                    n = len(values) // wide
+                    vecs = pa.ListArray.from_arrays(np.arange(n + 1, dtype="i4") * wide, values)
+                    yield pa.RecordBatch.from_arrays([_labels(r["name"], n), pa.array(np.arange(n) + (r["elem_start"] + at) // wide, pa.int64()), pa.array(np.zeros(n, np.int64)), pa.array(np.full(n, wide, np.int64)), vecs], names=ROW_PARTS)
 
-    return blocks.mapInArrow(decode, "name string, row bigint, vec array<double>")
+    parts = blocks.mapInArrow(decode, "name string, row bigint, offset bigint, wide bigint, vec array<double>")
+    whole = parts.where(F.size("vec") == F.col("wide")).select("name", "row", "vec")
+    cut = parts.where(F.size("vec") < F.col("wide")).groupBy("name", "row").agg(F.array_sort(F.collect_list(F.struct("offset", "vec"))).alias("parts"))
+    return whole.unionByName(cut.select("name", "row", F.flatten(F.transform("parts", lambda p: p["vec"])).alias("vec")))
+
+
+ROW_PARTS = ["name", "row", "offset", "wide", "vec"]
 
 
 def cast_blocks(blocks: DataFrame, target: str, mode: str = "load") -> DataFrame:
@@ -54,14 +96,23 @@ def cast_blocks(blocks: DataFrame, target: str, mode: str = "load") -> DataFrame
 
     def change(batches):
         for b in batches:
-            out = b.to_pylist()
-            for r in out:
-                r["payload"], r["dtype"] = D.convert(r["dtype"], r["payload"], target, mode), D.cast_allowed(r["dtype"], target, mode)
-            yield pa.RecordBatch.from_pylist(out, b.schema)
+            kinds = b.column("dtype").to_pylist()
+            for k, kind in enumerate(kinds):
+                raw, shown = D.convert(kind, b.column("payload")[k].as_buffer(), target, mode), D.cast_allowed(kind, target, mode)
+                fresh = {"payload": pa.array([memoryview(raw)], b.schema.field("payload").type), "dtype": pa.array([shown])}
+                yield pa.RecordBatch.from_arrays([fresh.get(f.name, b.column(f.name).slice(k, 1)) for f in b.schema], schema=b.schema)
 
     return blocks.mapInArrow(change, blocks.schema)
 
 
+def carrier_blocks(blocks: DataFrame) -> DataFrame:
+    """The same bytes of small and packed floats under the integer type that carries them (``carrier_of``); others stay. For consumers that know no such type."""
+    shown = F.create_map(*[F.lit(x) for kv in D.CARRIERS.items() for x in kv])
+    packed = F.col("dtype") == "F4"
+    halved = F.transform("shape", lambda n, i: F.when(i == F.size("shape") - 1, F.floor(n / 2)).otherwise(n))
+    return blocks.withColumns({"shape": F.when(packed, halved).otherwise(F.col("shape")), "elem_start": F.when(packed, F.floor(F.col("elem_start") / 2)).otherwise(F.col("elem_start")), "elem_count": F.when(packed, F.floor(F.col("elem_count") / 2)).otherwise(F.col("elem_count")), "dtype": F.coalesce(shown[F.col("dtype")], F.col("dtype"))})
+
+
 def view_blocks(blocks: DataFrame, target: str) -> DataFrame:
     """The same bytes under another type of the same width."""
     same = {k for k, d in D.DTYPES.items() if d.size == D.dtype(target).size}
@@ -81,9 +132,33 @@ def explode_vector(df: DataFrame, vec: str, dim: str = "d", value: str = "value"
     return df.select("*", F.posexplode(vec).alias(dim, value)).withColumn(dim, F.col(dim).cast("bigint")).drop(vec)
 
 
-def slice_vector(vec: Column, start: int, stop: int, step: int) -> Column:
-    """Elements of a slice along a row's vector, with their places in the slice, before anything is exploded."""
-    return F.filter(F.transform(vec, lambda x, d: F.struct(d.cast("bigint").alias("d"), x.alias("value"))), lambda z: (z["d"] >= start) & (z["d"] < stop) & ((z["d"] - start) % step == 0))
+def slice_vector(vec: Column, start: int | None, stop: int | None, step: int | None, size: int | None = None) -> Column:
+    """Elements of a slice along a row's vector, with their places in the slice, before anything is exploded. Open and negative bounds and steps need the vector's ``size``."""
+    r = range(start, stop, step) if size is None else range(*slice(start, stop, step).indices(size))
+    lo, hi = (r.start, r.stop) if r.step > 0 else (r.stop + 1, r.start + 1)
+    kept = F.filter(F.transform(vec, lambda x, d: F.struct(d.cast("bigint").alias("d"), x.alias("value"))), lambda z: (z["d"] >= lo) & (z["d"] < hi) & (F.pmod(z["d"] - r.start, F.lit(abs(r.step))) == 0))
+    return kept if r.step > 0 else F.reverse(kept)
+
+
+def slice_elements(elems: DataFrame, shape: list[int], index: tuple[slice, ...]) -> DataFrame:
+    """Elements of an n-d slice: those in it, with ``pos`` their place in the slice. The same as reading with ``index``, for elements that are at hand."""
+    ranges = [range(n)[index[d] if d < len(index) else slice(None)] for d, n in enumerate(shape)]
+    if not all(map(len, ranges)):
+        return elems.where(F.lit(False))
+    inside, pos, step, below = F.lit(True), F.lit(0).cast("bigint"), 1, 1
+    for r, n in zip(reversed(ranges), reversed(shape), strict=True):
+        i = F.pmod(F.expr(f"pos div {below}"), F.lit(n))
+        lo, hi = min(r[0], r[-1]), max(r[0], r[-1])
+        inside = inside & (i >= lo) & (i <= hi) & (F.pmod(i - r[0], F.lit(abs(r.step))) == 0)
+        pos = pos + F.floor((i - r[0]) / r.step) * step
+        step, below = step * len(r), below * n
+    return elems.where(inside).withColumn("pos", pos.cast("bigint"))
+
+
+def reshape(elems: DataFrame, shape: list[int], to: list[int]) -> DataFrame:
+    """Elements with the index that their place has in another shape of as many elements (one extent may be -1)."""
+    to = resolved_shape(shape, to)
+    return elems.withColumn("index", unravel(F.col("pos"), F.array(*[F.lit(n).cast("bigint") for n in to])))
 
 
 def reshape_rows(df: DataFrame, row: str, vec: str, wide: int, to: int) -> DataFrame:
@@ -106,6 +181,32 @@ def random_tensor(spark, name: str, shape: list[int], seed: int = 0) -> DataFram
     return spark.range(D.nelem(shape)).select(F.lit("").alias("path"), F.lit(name).alias("name"), F.col("id").alias("pos"), F.randn(seed).alias("value"))
 
 
+def pack_vectors(df: DataFrame, name: str, index: str, vec: str, wide: int, n: int, dtype: str = "F32", rows_a_block: int = 1 << 14) -> DataFrame:
+    """(name, dtype, shape, elem_start, payload): blocks of an [n, wide] tensor, of rows with a dense place ``index`` from 0 and their vector. A task holds one block."""
+
+    def pack(key, t):
+        t = t.sort_by("i")
+        values = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        return pa.table({"name": [name], "dtype": [dtype], "shape": pa.array([[n, wide]], pa.list_(pa.int64())), "elem_start": pa.array([key[0].as_py() * rows_a_block * wide], pa.int64()), "payload": pa.array([D.encode(dtype, values)], pa.binary())})
+
+    dealt = df.select(F.col(index).cast("bigint").alias("i"), F.col(vec).alias("v"), F.expr(f"{index} div {rows_a_block}").alias("k"))
+    return dealt.groupBy("k").applyInArrow(pack, TENSOR_BLOCKS)
+
+
+def pack_column(df: DataFrame, name: str, index: str, value: str, n: int, dtype: str, rows_a_block: int = 1 << 20) -> DataFrame:
+    """Blocks of an [n] tensor, of rows with a dense place ``index`` from 0 and a value."""
+
+    def pack(key, t):
+        t = t.sort_by("i")
+        return pa.table({"name": [name], "dtype": [dtype], "shape": pa.array([[n]], pa.list_(pa.int64())), "elem_start": pa.array([key[0].as_py() * rows_a_block], pa.int64()), "payload": pa.array([D.encode(dtype, t.column("v").to_numpy())], pa.binary())})
+
+    dealt = df.select(F.col(index).cast("bigint").alias("i"), F.col(value).alias("v"), F.expr(f"{index} div {rows_a_block}").alias("k"))
+    return dealt.groupBy("k").applyInArrow(pack, TENSOR_BLOCKS)
+
+
+TENSOR_BLOCKS = "name string, dtype string, shape array<bigint>, elem_start bigint, payload binary"
+
+
 def tensor_rows(elems: DataFrame, dtype: str, shape: list[int]) -> DataFrame:
     """(name, dtype, shape, payload): the rows that the archive writer takes, from elements; a tensor must fit in a task."""
 

@@ -72,7 +72,7 @@ SOURCES: dict[str, Callable] = {}
 
 
 def register_source(name: str) -> Callable:
-    """Decorator: makes a function (spark, paths, config, names) -> blocks known under a name."""
+    """Decorator: makes a function (spark, paths, config, names, index) -> blocks known under a name."""
 
     def keep(f: Callable) -> Callable:
         SOURCES[name] = f
@@ -88,20 +88,43 @@ def source(name: str) -> Callable:
 
 
 @register_source("base")
-def _local(spark, paths, config: Config, names=None):
+def _files(spark, paths, config: Config, names=None, index=None):
+    """Files that ``open`` reaches on every executor; paths with another scheme are left to the source ``spark``."""
+    from tensorfold.sources.archive import is_remote, read_blocks
+
+    if is_remote(paths):
+        return _by_spark(spark, paths, config, names, index)
+    return read_blocks(spark, paths, block_bytes=config.block_bytes, names=names, index=index, mapped=bool(config.section("base").get("mapped")))
+
+
+@register_source("mapped")
+def _mapped(spark, paths, config: Config, names=None, index=None):
+    """Files mapped into the tasks' memory instead of read."""
     from tensorfold.sources.archive import read_blocks
 
-    return read_blocks(spark, paths, block_bytes=config.block_bytes, names=names)
+    return read_blocks(spark, paths, block_bytes=config.block_bytes, names=names, index=index, mapped=True)
 
 
 @register_source("mount")
-def _mount(spark, paths, config: Config, names=None):
-    """Files under a mount point, which the section's ``mount_point`` puts before relative paths."""
-    from tensorfold.sources.archive import read_blocks
+def _mount(spark, paths, config: Config, names=None, index=None):
+    """Files under a mount point: the section's ``mount_point`` goes before relative paths and in place of its ``scheme`` (such as ``store://``)."""
+    own = config.section("mount")
+    return _files(spark, [under_mount(p, own.get("mount_point", "/"), own.get("scheme", "")) for p in ([paths] if isinstance(paths, str) else paths)], config, names, index)
+
+
+def under_mount(path: str, top: str, scheme: str = "") -> str:
+    if scheme and path.startswith(scheme):
+        return os.path.join(top, path.removeprefix(scheme).lstrip("/"))
+    return path if path.startswith("/") or "://" in path else os.path.join(top, path)
+
+
+@register_source("spark")
+def _by_spark(spark, paths, config: Config, names=None, index=None):
+    """Files of a store that only Spark reads, a whole file a row."""
+    from tensorfold.sources.archive import blocks_of_binary
 
-    top = config.section("mount").get("mount_point", "/")
-    paths = [paths] if isinstance(paths, str) else paths
-    return read_blocks(spark, [p if p.startswith("/") else os.path.join(top, p) for p in paths], block_bytes=config.block_bytes, names=names)
+    files = spark.read.format("binaryFile").load([paths] if isinstance(paths, str) else paths)
+    return blocks_of_binary(files, block_bytes=config.block_bytes, names=names, index=index)
 
 
 def logger(config: Config | None = None) -> logging.Logger:

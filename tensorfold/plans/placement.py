@@ -45,6 +45,11 @@ def place(files: DataFrame, key: str, world: int, out: str = "i") -> DataFrame:
     return running(files, key, 1, out).withColumns({"rank": F.col(out) % world, "ordinal": F.expr(f"{out} div {world}")})
 
 
+def rank_totals(files: DataFrame, size: str, world: int, rank: str = "rank") -> DataFrame:
+    """(rank, nfiles, nbytes, max_file) of placed files, for each rank that has some."""
+    return files.groupBy(F.col(rank).alias("rank")).agg(F.count("*").alias("nfiles"), F.sum(size).alias("nbytes"), F.max(size).alias("max_file")).where(F.col("rank") < world)
+
+
 def block_ranges(length: Column, block: int) -> Column:
     """An array of (block, off, len) that covers a length; empty for nothing."""
     n = F.ceil(length / block).cast("bigint")

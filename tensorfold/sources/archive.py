@@ -1,8 +1,8 @@
 """Spark data source ``tensorarchive``.
 
 Views (option ``view``): ``catalog`` has a row per tensor and reads headers alone; ``blocks`` has a row per run of at
-most ``block_bytes`` bytes. Option ``names`` (a JSON list) and ``rows`` (``start:stop`` along dimension 0) prune before
-any data is read. With option ``pushdown`` true, filters on path, name and dtype (equality, IN, prefix) prune too; Spark 4.1
+most ``block_bytes`` bytes. Option ``names`` (a JSON list), ``rows`` (``start:stop`` along dimension 0) and ``index`` (a slice for each dimension) prune before
+any data is read. The driver deals byte ranges of files by their sizes; headers are read by the tasks. With option ``pushdown`` true, filters on path, name and dtype (equality, IN, prefix) prune too; Spark 4.1
 keeps what was pushed with the DataFrame it was pushed through, so use that only for a DataFrame that is filtered once.
 Paths must be reachable by ``open`` on every executor (a shared mount); for a store that only Spark reads, load the files with
 ``binaryFile`` and use :func:`catalog_of_binary`.
@@ -11,40 +11,58 @@ Paths must be reachable by ``open`` on every executor (a shared mount); for a st
 from __future__ import annotations
 
 import fnmatch
+import itertools
 import json
+import math
+import mmap
 import os
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, SimpleDataSourceStreamReader, StringStartsWith, WriterCommitMessage
 
-from tensorfold.errors import DuplicateTensor, UnexpectedEOF
-from tensorfold.functions.dtypes import dtype
-from tensorfold.sources.header import ALIGNMENT, Header, from_buffer, read_header, render
+from tensorfold.errors import DuplicateTensor, TensorInvalidInfo, UnexpectedEOF
+from tensorfold.functions.dtypes import dtype, native_shape, native_slice, nbytes
+from tensorfold.sources.header import ALIGNMENT, Entry, Header, from_buffer, read_header, render
 
 CATALOG = "path string, name string, dtype string, shape array<bigint>, ndim int, nelem bigint, nbytes bigint, off_start bigint, off_end bigint, header_length bigint, file_size bigint, aligned boolean, metadata map<string,string>"
 BLOCKS = "path string, name string, dtype string, shape array<bigint>, block_id int, elem_start bigint, elem_count bigint, payload binary"
 TENSOR_ROWS = "path string, name string, dtype string, shape array<bigint>, payload binary"
 BLOCK_BYTES = 64 << 20
+PARTITION_BYTES = 128 << 20
+BATCH_BYTES = 8 << 20
+FILES_TOGETHER = 256
+#: Bytes of a row from which a small part of it is read alone.
+STRIDED_ROW = 1 << 16
 SUFFIX = ".safetensors"
 
 
+def is_remote(path: str | list[str]) -> bool:
+    """Whether a path has a scheme that only Spark can open."""
+    return any("://" in p and not p.startswith("file://") for p in ([path] if isinstance(path, str) else path))
+
+
 def discover(path: str | list[str]) -> list[str]:
-    """Archive files under files, folders and patterns, sorted, each once."""
-    out: set[str] = set()
+    """Archive files under files, folders and patterns, each once: in the order of the list, and sorted where one entry stands for several."""
+    out: dict[str, None] = {}
     for p in [path] if isinstance(path, str) else path:
-        p = p.removeprefix("file://")
-        if os.path.isdir(p):
-            out |= {os.path.join(d, x) for d, _, names in os.walk(p) for x in names if x.endswith(SUFFIX)}
+        p = p if is_remote(p) else p.removeprefix("file://").removeprefix("file:")
+        if is_remote(p):
+            found = [p]
+        elif os.path.isdir(p):
+            found = sorted(os.path.join(d, x) for d, _, names in os.walk(p) for x in names if x.endswith(SUFFIX))
         elif any(c in p for c in "*?["):
             top = os.path.dirname(p)
-            out |= {os.path.join(top, x) for x in os.listdir(top) if fnmatch.fnmatch(x, os.path.basename(p))}
+            found = sorted(os.path.join(top, x) for x in os.listdir(top) if fnmatch.fnmatch(x, os.path.basename(p)))
         else:
-            out.add(p)
-    return sorted(out)
+            found = [p]
+        out |= dict.fromkeys(found)
+    return list(out)
 
 
 def header_of(path: str) -> Header:
@@ -70,6 +88,26 @@ def catalog_of_binary(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(parse, CATALOG)
 
 
+def blocks_of_binary(files: DataFrame, block_bytes: int = BLOCK_BYTES, names: list[str] | None = None, index: list | None = None) -> DataFrame:
+    """The blocks of a DataFrame (path, content) of whole files, such as ``binaryFile`` gives."""
+    options = {"block_bytes": str(block_bytes)} | ({"names": json.dumps(names)} if names is not None else {}) | ({"index": json.dumps(index)} if index is not None else {})
+
+    def parse(batches):
+        reader = ArchiveReader(options)
+        for b in batches:
+            for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+                raw = content.as_buffer()
+                for some in _together(list(reader.runs(from_buffer(raw, path))), BATCH_BYTES):
+                    yield _block_batch(path, some, *_payloads(None, raw, path, some))
+
+    return files.select("path", "content").mapInArrow(parse, BLOCKS)
+
+
+def read_any_catalog(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The catalog of files, whichever way they can be opened."""
+    return catalog_of_binary(spark.read.format("binaryFile").load(paths)) if is_remote(paths) else read_catalog(spark, paths)
+
+
 CATALOG_NAMES = [x.split()[0] for x in CATALOG.replace("map<string,string>", "map").split(", ")]
 CATALOG_ARROW = pa.schema(
     [("path", pa.string()), ("name", pa.string()), ("dtype", pa.string()), ("shape", pa.list_(pa.int64())), ("ndim", pa.int32())]
@@ -85,36 +123,54 @@ class Files(InputPartition):
 
 
 @dataclass
-class Run(InputPartition):
-    path: str
-    name: str
-    dtype: str
+class Ranges(InputPartition):
+    """Byte ranges of files; a task reads the blocks that begin in them."""
+
+    ranges: list[tuple[str, int, int]]
+
+
+@dataclass
+class Run:
+    """A block: some rows along dimension 0 of a tensor, or of a slice of it."""
+
+    entry: Entry
     shape: list[int]
     block_id: int
     elem_start: int
     elem_count: int
     offset: int
     length: int
+    rows: range | None = None
+    index: tuple[slice, ...] = ()
+
+
+def native_index(entry: Entry, index: list) -> tuple[slice, ...]:
+    """A slice for each stored dimension (packed values: in bytes), of [start, stop, step] lists; dimensions without one are whole."""
+    if len(index) > len(entry.shape):
+        raise IndexError(f"{len(index)} slices for {len(entry.shape)} dimensions of {entry.name}")
+    full = tuple(slice(*(index[d] or ())) if d < len(index) and index[d] is not None else slice(None) for d in range(len(entry.shape)))
+    return native_slice(entry.dtype, list(entry.shape), full)
 
 
 class ArchiveReader(DataSourceReader):
+    """Headers are read by the tasks: the driver lists files and their sizes, and deals byte ranges."""
+
     def __init__(self, options: dict):
         self.paths = options.get("path", "")
         self.view = options.get("view", "blocks").lower()
         self.block_bytes = int(options.get("block_bytes", BLOCK_BYTES))
-        self.rows = options.get("rows")
+        self.partition_bytes = int(options.get("partition_bytes", PARTITION_BYTES))
+        self.mapped = options.get("mapped", "false").lower() == "true"
+        self.index = json.loads(options["index"]) if options.get("index") else []
+        if options.get("rows"):
+            start, stop = (int(v) if v else None for v in options["rows"].split(":")[:2])
+            self.index = [[start, stop, None]]
+            self.places = True
+        else:
+            self.places = not self.index  # elem_start counts in the whole tensor, not in the slice
         self.tests: list[tuple[str, str, object]] = []
         if options.get("names"):
             self.tests.append(("name", "in", set(json.loads(options["names"]))))
-        self.pushdown = options.get("pushdown", "false").lower() == "true"
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        kinds = {EqualTo: lambda f: {f.value}, In: lambda f: set(f.value), StringStartsWith: lambda f: f.value}
-        for f in filters:
-            if self.pushdown and type(f) in kinds and f.attribute in (("path",), ("name",), ("dtype",)):
-                self.tests.append((f.attribute[0], "prefix" if isinstance(f, StringStartsWith) else "in", kinds[type(f)](f)))
-            else:
-                yield f
 
     def passes(self, **values: str) -> bool:
         return all(values[k].startswith(v) if how == "prefix" else values[k] in v for k, how, v in self.tests if k in values)
@@ -123,74 +179,232 @@ class ArchiveReader(DataSourceReader):
         paths = [p for p in discover(self.paths.split(",")) if self.passes(path=p)]
         if self.view == "catalog":
             return [Files(paths[i : i + 16]) for i in range(0, len(paths), 16)] or [Files([])]
-        return [r for p in paths for r in self.runs(header_of(p))] or [Files([])]
+        return [Ranges(r) for r in byte_ranges(paths, self.partition_bytes)] or [Files([])]
 
     def runs(self, h: Header) -> Iterator[Run]:
+        """The blocks of a file's wanted tensors, in the file's order."""
         for x in h.entries:
             if not self.passes(name=x.name, dtype=x.dtype):
                 continue
-            size, row = dtype(x.dtype).size, max(1, x.nelem // x.shape[0]) if x.shape and x.shape[0] else 1
-            lo, hi = 0, x.nelem
-            if self.rows and x.shape:
-                lo, hi, _ = (int(v) * row for v in slice(*(int(v) if v else None for v in self.rows.split(":")[:2])).indices(x.shape[0]))
-            step = max(1, int(self.block_bytes / size) // row) * row if row * size <= self.block_bytes else int(self.block_bytes / size) // 2 * 2
-            for k, at in enumerate(range(lo, max(lo, hi), max(1, step))):
-                n = min(step, hi - at)
-                yield Run(h.path, x.name, x.dtype, list(x.shape), k, at, n, h.header_length + x.start + int(at * size), int(n * size))
+            kind = dtype(x.dtype)
+            stored = native_shape(x.dtype, list(x.shape)) if self.index and x.shape else list(x.shape)
+            packed = stored != list(x.shape)
+            size = 1 if packed else kind.size  # bytes of a stored element
+            index = native_index(x, self.index) if self.index and x.shape else ()
+            if index:
+                kept = [range(n)[i] for n, i in zip(stored, index, strict=True)]
+                shape = [len(r) for r in kept]
+                rows, wide = kept[0], math.prod(stored[1:])
+                each = math.prod(shape[1:])
+                most = max(1, int(self.block_bytes / size) // max(1, wide))
+                if not each:
+                    continue
+                inner = index[1:] if any(r != range(n) for r, n in zip(kept[1:], stored[1:], strict=True)) else ()
+                times = 2 if packed else 1
+                shown = list(x.shape) if self.places else [*shape[:-1], shape[-1] * times]
+                for k, at in enumerate(range(0, len(rows), most)):
+                    own = rows[at : at + most]
+                    low, high = min(own[0], own[-1]), max(own[0], own[-1]) + 1
+                    first = own[0] if self.places else at
+                    yield Run(x, shown, k, first * each * times, len(own) * each * times, h.header_length + x.start + int(low * wide * size), int((high - low) * wide * size), own if inner or abs(own.step) != 1 or own.step < 0 else None, inner)
+                continue
+            wide = max(1, x.nelem // x.shape[0]) if x.shape and x.shape[0] else 1
+            step = max(1, int(self.block_bytes / size) // wide) * wide if wide * size <= self.block_bytes else int(self.block_bytes / size) // 2 * 2
+            for k, at in enumerate(range(0, x.nelem, max(1, step))):
+                n = min(step, x.nelem - at)
+                yield Run(x, list(x.shape), k, at, n, h.header_length + x.start + int(at * size), int(n * size))
 
     def read(self, partition):
-        if isinstance(partition, Run):
-            with open(partition.path, "rb") as f:
-                f.seek(partition.offset)
-                payload = f.read(partition.length)
-            if len(payload) != partition.length:
-                raise UnexpectedEOF(f"{partition.path}: {len(payload)} of {partition.length} bytes of {partition.name}")
-            row = (partition.path, partition.name, partition.dtype, partition.shape, partition.block_id, partition.elem_start, partition.elem_count, payload)
-            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, BLOCKS_ARROW, strict=True)], schema=BLOCKS_ARROW)
+        if isinstance(partition, Files):
+            for path in partition.paths:
+                for row in catalog_rows(header_of(path)):
+                    if self.passes(name=row[1], dtype=row[2]):
+                        yield row
             return
-        for path in partition.paths:
-            for row in catalog_rows(header_of(path)):
-                if self.passes(name=row[1], dtype=row[2]):
-                    yield row
+        for path, low, high in partition.ranges:
+            h = header_of(path)
+            wanted = [r for r in self.runs(h) if low <= r.offset < high]
+            if not wanted:
+                continue
+            with open(path, "rb") as f:
+                data = pa.py_buffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)) if self.mapped else None
+                for some in _together(wanted, BATCH_BYTES):
+                    yield _block_batch(path, some, *_payloads(f, data, path, some))
+
+
+class PushingReader(ArchiveReader):
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        kinds = {EqualTo: lambda f: {f.value}, In: lambda f: set(f.value), StringStartsWith: lambda f: f.value}
+        for f in filters:
+            if type(f) in kinds and f.attribute in (("path",), ("name",), ("dtype",)):
+                self.tests.append((f.attribute[0], "prefix" if isinstance(f, StringStartsWith) else "in", kinds[type(f)](f)))
+            else:
+                yield f
+
+
+def byte_ranges(paths: list[str], most: int) -> list[list[tuple[str, int, int]]]:
+    """Files cut to ranges of at most ``most`` bytes, small files together."""
+    out: list[list[tuple[str, int, int]]] = []
+    room = 0
+    for p in paths:
+        size = os.path.getsize(p)
+        for low in range(0, max(size, 1), most):
+            part = (p, low, min(size, low + most) if low + most < size else 1 << 62)
+            n = min(most, size - low)
+            if n > room or len(out[-1]) >= FILES_TOGETHER:
+                out.append([])
+                room = most
+            out[-1].append(part)
+            room -= n
+    return out
+
+
+def _together(runs: list[Run], most: int) -> Iterator[list[Run]]:
+    """Runs whose payloads go in one batch."""
+    held: list[Run] = []
+    size = 0
+    for r in runs:
+        if held and (size + r.length > most or r.rows is not None or held[-1].rows is not None):
+            yield held
+            held, size = [], 0
+        held.append(r)
+        size += r.length
+    if held:
+        yield held
+
+
+def _payloads(f, data: pa.Buffer | None, path: str, runs: list[Run]) -> tuple[list[int], pa.Buffer]:
+    """Bounds of the payloads, and their bytes: one read (or none, when the file is mapped) where they lie back to back."""
+    if runs[0].rows is not None:
+        raw = _sliced(f, data, path, runs[0])
+        return [0, len(raw)], pa.py_buffer(raw)
+    bounds = [0]
+    for r in runs:
+        bounds.append(bounds[-1] + r.length)
+    if all(a.offset + a.length == b.offset for a, b in itertools.pairwise(runs)):
+        return bounds, _bytes(f, data, path, runs[0].offset, bounds[-1], runs[0].entry.name)
+    return bounds, pa.py_buffer(b"".join(memoryview(_bytes(f, data, path, r.offset, r.length, r.entry.name)) for r in runs))
+
+
+def _bytes(f, data: pa.Buffer | None, path: str, offset: int, length: int, name: str) -> pa.Buffer:
+    if data is not None:
+        found = data.slice(offset, max(0, min(length, data.size - offset)))
+    else:
+        raw = bytearray(length)
+        f.seek(offset)
+        at, view = 0, memoryview(raw)
+        while at < length and (n := f.readinto(view[at:])):
+            at += n
+        found = pa.py_buffer(raw).slice(0, at)
+    if found.size != length:
+        raise UnexpectedEOF(f"{path}: {found.size} of {length} bytes of {name}")
+    return found
+
+
+def _sliced(f, data, path: str, r: Run) -> bytes:
+    """The bytes of a block of a slice: the span of its rows is read and cut, or, where little of wide rows is wanted, each row's part alone."""
+    x = r.entry
+    stored = native_shape(x.dtype, list(x.shape))
+    kind = np.dtype("u1") if stored != list(x.shape) else np.dtype(dtype(x.dtype).carrier)
+    inner = [range(n)[i] for n, i in zip(stored[1:], r.index or (slice(None),) * len(stored[1:]), strict=True)]
+    wide = math.prod(stored[1:])
+    low = min(r.rows[0], r.rows[-1])
+    if inner and inner[0] and all(q == range(n) for q, n in zip(inner[1:], stored[2:], strict=True)) and inner[0].step == 1:
+        below = math.prod(stored[2:]) * kind.itemsize
+        part, row = len(inner[0]) * below, wide * kind.itemsize
+        if row >= STRIDED_ROW and part * 4 <= row:
+            base = r.offset - low * row
+            return b"".join(memoryview(_bytes(f, data, path, base + i * row + inner[0].start * below, part, x.name)) for i in r.rows)
+    whole = np.frombuffer(_bytes(f, data, path, r.offset, r.length, x.name), kind).reshape(-1, *stored[1:])
+    cut = whole[np.array(r.rows) - low]
+    return np.ascontiguousarray(cut[(slice(None), *r.index)] if r.index else cut).tobytes()
+
+
+def _block_batch(path: str, runs: list[Run], bounds: list[int], payload: pa.Buffer) -> pa.RecordBatch:
+    payloads = pa.Array.from_buffers(pa.binary(), len(runs), [None, pa.py_buffer(np.array(bounds, np.int32)), payload])
+    cols = [[path] * len(runs), [r.entry.name for r in runs], [r.entry.dtype for r in runs], [r.shape for r in runs], [r.block_id for r in runs], [r.elem_start for r in runs], [r.elem_count for r in runs]]
+    return pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(cols, BLOCKS_ARROW, strict=False)), payloads], schema=BLOCKS_ARROW)
 
 
 @dataclass
 class Written(WriterCommitMessage):
     path: str
+    final: str
     names: list[str]
 
 
 class ArchiveWriter(DataSourceArrowWriter):
-    """One archive per task; a tensor is one row (name, dtype, shape, payload). Tensors go to a temporary name, which commit renames."""
+    """One archive per task, of tensors or blocks of them: (name, dtype, shape, elem_start, payload), blocks of a tensor in order.
 
-    def __init__(self, options: dict):
-        self.path = options["path"].removeprefix("file://")
+    Payloads go to a spill file beside the archive as they come, so a task holds a batch at a time. Files are named by job, so an append adds
+    to what is there; names are held against those of the files there. With overwrite the files of before go once the new ones are in place.
+    """
+
+    def __init__(self, options: dict, overwrite: bool = False):
+        self.path = options["path"].removeprefix("file://").removeprefix("file:")
         self.metadata = {k.removeprefix("metadata."): v for k, v in options.items() if k.startswith("metadata.")}
+        self.overwrite = overwrite
+        self.job = uuid.uuid4().hex[:12]
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
 
-        rows = [r for b in batches for r in b.select(["name", "dtype", "shape", "payload"]).to_pylist()]
-        if not rows:
-            return Written("", [])
-        rows.sort(key=lambda r: (-dtype(r["dtype"]).size, r["name"]))
-        os.makedirs(self.path, exist_ok=True)
         part = TaskContext.get()
-        out = os.path.join(self.path, f"part-{part.partitionId():05d}{SUFFIX}")
-        with open(f"{out}.{part.taskAttemptId()}.tmp", "wb") as f:
-            f.write(render([(r["name"], r["dtype"], r["shape"]) for r in rows], self.metadata))
-            for r in rows:
-                f.write(r["payload"])
-        return Written(f.name, [r["name"] for r in rows])
+        os.makedirs(self.path, exist_ok=True)
+        final = os.path.join(self.path, f"part-{self.job}-{part.partitionId():05d}{SUFFIX}")
+        temporary = f"{final}.{part.taskAttemptId()}.tmp"
+        parts: dict[str, tuple[str, list[int], list[tuple[int, int]]]] = {}  # name: type, shape, ranges in the spill file
+        held: dict[str, int] = {}
+        try:
+            with open(f"{temporary}.spill", "w+b") as spill:
+                for b in batches:
+                    starts = b.column("elem_start").to_pylist() if "elem_start" in b.schema.names else [None] * b.num_rows
+                    for name, kind, shape, start, payload in zip(b.column("name").to_pylist(), b.column("dtype").to_pylist(), b.column("shape").to_pylist(), starts, b.column("payload"), strict=True):
+                        raw = payload.as_buffer()
+                        if name in parts and not start:
+                            raise DuplicateTensor(f"tensors that come twice: {name}")
+                        own = parts.setdefault(name, (kind, shape, []))[2]
+                        if start is not None and int(start * dtype(kind).size) != held.get(name, 0):
+                            raise TensorInvalidInfo(f"{name}: a block begins at element {start}, after {held.get(name, 0)} bytes")
+                        at = spill.tell()
+                        spill.write(raw)
+                        held[name] = held.get(name, 0) + raw.size
+                        if own and own[-1][1] == at:
+                            own[-1] = (own[-1][0], at + raw.size)
+                        else:
+                            own.append((at, at + raw.size))
+                if not parts:
+                    return Written("", "", [])
+                order = sorted(parts, key=lambda n: (-dtype(parts[n][0]).size, n))  # wide types first keep every tensor aligned
+                for n in order:
+                    if held[n] != nbytes(parts[n][0], parts[n][1]):
+                        raise TensorInvalidInfo(f"{n} is {parts[n][0]} {parts[n][1]} in {held[n]} bytes")
+                spill.flush()
+                with open(temporary, "wb") as f:
+                    f.write(render([(n, *parts[n][:2]) for n in order], self.metadata))
+                    f.flush()
+                    for n in order:
+                        for a, z in parts[n][2]:
+                            copy_range(spill.fileno(), f.fileno(), a, z - a)
+        finally:
+            if os.path.exists(f"{temporary}.spill"):
+                os.remove(f"{temporary}.spill")
+        return Written(temporary, final, list(parts))
 
     def commit(self, messages: list[Written]) -> None:
-        names = [n for m in messages if m for n in m.names]
-        if twice := sorted({n for n in names if names.count(n) > 1} if len(names) < 1000 else _twice(names)):
+        messages = [m for m in messages if m and m.path]
+        before = discover(self.path) if os.path.isdir(self.path) else []
+        names = [n for m in messages for n in m.names]
+        if not self.overwrite:
+            names += [x.name for p in before for x in header_of(p).entries]
+        if twice := sorted(_twice(names)):
             self.abort(messages)
             raise DuplicateTensor(f"tensors that come twice: {', '.join(twice[:5])}")
         for m in messages:
-            if m and m.path:
-                os.replace(m.path, m.path.rsplit(".", 2)[0])
+            os.replace(m.path, m.final)
+        if self.overwrite:
+            for p in before:
+                os.remove(p)
 
     def abort(self, messages: list[Written]) -> None:
         for m in messages:
@@ -198,13 +412,22 @@ class ArchiveWriter(DataSourceArrowWriter):
                 os.remove(m.path)
 
 
+def copy_range(source: int, target: int, offset: int, length: int) -> None:
+    """Bytes of one open file to the place where another stands, without passing through Python where the system can."""
+    while length:
+        n = os.sendfile(target, source, offset, length)
+        if not n:
+            raise UnexpectedEOF(f"{length} bytes are missing")
+        offset, length = offset + n, length - n
+
+
 def _twice(names: list[str]) -> set[str]:
     seen: set[str] = set()
     return {n for n in names if n in seen or seen.add(n)}
 
 
 class ArchiveStream(SimpleDataSourceStreamReader):
-    """Whole tensors, a batch of ``world_size`` files a trigger, in the order of the list; the offset is the batch's number."""
+    """The files of a batch of ``world_size`` a trigger, in the order of the list; the offset is the batch's number. Tasks read what is in them (``read_stream``)."""
 
     def __init__(self, options: dict):
         self.files = discover(options.get("path", "").split(","))
@@ -221,17 +444,26 @@ class ArchiveStream(SimpleDataSourceStreamReader):
         return iter([r for k in range(start["batch"], end["batch"]) for r in self.batch(k)])
 
     def batch(self, k: int) -> Iterator[tuple]:
-        out = []
-        for rank, path in enumerate(self.files[k * self.width : (k + 1) * self.width]):
+        return iter([(k, rank, path) for rank, path in enumerate(self.files[k * self.width : (k + 1) * self.width])])
+
+
+STREAM = f"batch int, rank int, ordinal int, {TENSOR_ROWS}"
+
+
+def _tensors_of_files(batches):
+    """Whole tensors of each listed file, a tensor a batch."""
+    for b in batches:
+        for k, rank, path in zip(*(b.column(c).to_pylist() for c in ("batch", "rank", "path")), strict=True):
             h = header_of(path)
             with open(path, "rb") as f:
                 for ordinal, x in enumerate(h.entries):
-                    f.seek(h.header_length + x.start)
-                    payload = f.read(x.nbytes)
-                    if len(payload) != x.nbytes:
-                        raise UnexpectedEOF(f"{path}: {len(payload)} of {x.nbytes} bytes of {x.name}")
-                    out.append((k, rank, ordinal, path, x.name, x.dtype, list(x.shape), payload))
-        return iter(out)
+                    raw = _bytes(f, None, path, h.header_length + x.start, x.nbytes, x.name)
+                    row = (k, rank, ordinal, path, x.name, x.dtype, list(x.shape))
+                    payload = pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, x.nbytes], np.int32)), raw])
+                    yield pa.RecordBatch.from_arrays([*(pa.array([v], f.type) for v, f in zip(row, STREAM_ARROW, strict=False)), payload], schema=STREAM_ARROW)
+
+
+STREAM_ARROW = pa.schema([("batch", pa.int32()), ("rank", pa.int32()), ("ordinal", pa.int32()), ("path", pa.string()), ("name", pa.string()), ("dtype", pa.string()), ("shape", pa.list_(pa.int64())), ("payload", pa.binary())])
 
 
 class ArchiveSource(DataSource):
@@ -241,22 +473,21 @@ class ArchiveSource(DataSource):
 
     def schema(self) -> str:
         view = self.options.get("view", "blocks").lower()
-        return {"catalog": CATALOG, "blocks": BLOCKS, "stream": f"batch int, rank int, ordinal int, {TENSOR_ROWS}"}[view]
+        return {"catalog": CATALOG, "blocks": BLOCKS, "stream": "batch int, rank int, path string"}[view]
 
     def reader(self, schema) -> DataSourceReader:
-        return ArchiveReader(dict(self.options))
+        return (PushingReader if self.options.get("pushdown", "false").lower() == "true" else ArchiveReader)(dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> ArchiveWriter:
-        return ArchiveWriter(dict(self.options))
+        return ArchiveWriter(dict(self.options), overwrite)
 
     def simpleStreamReader(self, schema) -> ArchiveStream:
         return ArchiveStream(dict(self.options))
 
 
 def register(spark: SparkSession) -> None:
-    """Makes ``format("tensorarchive")`` known to a session, with pushdown into it."""
+    """Makes ``format("tensorarchive")`` known to a session. Its settings are left alone: option ``pushdown`` needs ``spark.sql.python.filterPushdown.enabled``."""
     spark.dataSource.register(ArchiveSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
 def read_catalog(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -264,25 +495,62 @@ def read_catalog(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.format("tensorarchive").option("view", "catalog").load(paths if isinstance(paths, str) else ",".join(paths))
 
 
-def read_blocks(spark: SparkSession, paths: str | list[str], rows: str | None = None, block_bytes: int = BLOCK_BYTES, names: list[str] | None = None, pushdown: bool = False) -> DataFrame:
+def read_blocks(spark: SparkSession, paths: str | list[str], rows: str | None = None, block_bytes: int = BLOCK_BYTES, names: list[str] | None = None, pushdown: bool = False, index: list | None = None, mapped: bool = False, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
+    """Blocks of tensors. ``rows`` keeps a range of dimension 0 with places in the whole tensor; ``index`` (a [start, stop, step] or None for each dimension)
+    gives the slice as a tensor of its own. Only bytes of wanted rows are read; ``mapped`` maps files instead of reading them."""
     register(spark)
-    r = spark.read.format("tensorarchive").option("view", "blocks").option("block_bytes", block_bytes).option("pushdown", pushdown)
+    r = spark.read.format("tensorarchive").option("view", "blocks").option("block_bytes", block_bytes).option("partition_bytes", partition_bytes).option("pushdown", pushdown).option("mapped", mapped)
     r = r.option("names", json.dumps(names)) if names is not None else r
+    r = r.option("index", json.dumps(index)) if index is not None else r
     return (r.option("rows", rows) if rows else r).load(paths if isinstance(paths, str) else ",".join(paths))
 
 
 def read_stream(spark: SparkSession, paths: str | list[str], world_size: int = 1) -> DataFrame:
+    """Whole tensors of the files, a batch of ``world_size`` files a trigger. The driver hands out paths; tasks, one a rank, read headers and bytes."""
     register(spark)
-    return spark.readStream.format("tensorarchive").option("view", "stream").option("world_size", world_size).load(paths if isinstance(paths, str) else ",".join(paths))
+    files = spark.readStream.format("tensorarchive").option("view", "stream").option("world_size", world_size).load(paths if isinstance(paths, str) else ",".join(paths))
+    return files.repartition(world_size, "rank").mapInArrow(_tensors_of_files, STREAM)
 
 
-def write_archive(tensors: DataFrame, path: str, files: int = 1, metadata: dict[str, str] | None = None) -> None:
-    """Writes tensors (name, dtype, shape, payload) as archives, spread over files by name. Archive data starts at multiples of 16 bytes."""
+def write_archive(tensors: DataFrame, path: str, files: int = 1, metadata: dict[str, str] | None = None, mode: str = "append") -> None:
+    """Writes tensors (name, dtype, shape, payload), or blocks of them (with elem_start), as archives, spread over files by name. Archive data starts at multiples of
+    16 bytes. ``append`` adds files and refuses names that are there; ``overwrite`` replaces the archives of the folder."""
     register(tensors.sparkSession)
-    w = tensors.select("name", "dtype", "shape", "payload").repartition(files, F.xxhash64("name")).write.format("tensorarchive")
+    blocks = "elem_start" in tensors.columns
+    rows = tensors.select("name", "dtype", "shape", (F.col("elem_start") if blocks else F.lit(None)).cast("bigint").alias("elem_start"), "payload")
+    dealt = rows.repartition(files, F.xxhash64("name"))
+    w = (dealt.sortWithinPartitions("name", "elem_start") if blocks else dealt).write.format("tensorarchive")
     for k, v in (metadata or {}).items():
         w = w.option(f"metadata.{k}", v)
-    w.mode("append").save(path)
+    w.mode(mode).save(path)
+
+
+def realign_file(source: str, target: str) -> bool:
+    """Writes an archive again with its data at a multiple of 16, by way of the file system's own copy; False, and nothing written, if it lies there already."""
+    h = header_of(source)
+    if h.aligned:
+        return False
+    with open(source, "rb") as f, open(f"{target}.tmp", "wb") as out:
+        out.write(render([(x.name, x.dtype, list(x.shape)) for x in h.entries], h.metadata))
+        out.flush()
+        copy_range(f.fileno(), out.fileno(), h.header_length, h.file_size - h.header_length)
+    os.replace(f"{target}.tmp", target)
+    return True
+
+
+def realign(spark: SparkSession, paths: str | list[str], folder: str) -> DataFrame:
+    """(path, target, rewritten) of archives, each realigned by a task into a folder under its own name."""
+    folder = folder.removeprefix("file://")
+    os.makedirs(folder, exist_ok=True)
+
+    def run(batches):
+        for b in batches:
+            found = b.column("path").to_pylist()
+            targets = [os.path.join(folder, os.path.basename(p)) for p in found]
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(targets), pa.array([realign_file(p, t) for p, t in zip(found, targets, strict=True)])], names=["path", "target", "rewritten"])
+
+    files = discover(paths)
+    return spark.createDataFrame([(p,) for p in files], "path string").repartition(max(1, len(files))).mapInArrow(run, "path string, target string, rewritten boolean")
 
 
-__all__ = ["ALIGNMENT", "ArchiveSource", "catalog_of_binary", "discover", "read_blocks", "read_catalog", "read_stream", "register", "write_archive"]
+__all__ = ["ALIGNMENT", "ArchiveSource", "catalog_of_binary", "discover", "read_blocks", "read_catalog", "read_stream", "realign", "realign_file", "register", "write_archive"]

@@ -5,14 +5,17 @@ Offsets are batch numbers, so a restarted query goes on after the last committed
 
 from __future__ import annotations
 
+import queue
+import threading
 import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensorfold.plans.config import Config, logger
+from tensorfold.plans.config import Config, load_config, logger, source
+from tensorfold.plans.placement import batches_in_memory
 from tensorfold.sources.archive import discover, read_stream
 
 
@@ -50,29 +53,88 @@ def batch_metrics(tensors: DataFrame) -> DataFrame:
     return tensors.groupBy("batch", "rank").agg(F.countDistinct("path").alias("files"), F.count("*").alias("tensors"), F.sum(F.octet_length("payload")).alias("nbytes"))
 
 
-def iterate(spark: SparkSession, paths: str | list[str], world_size: int = 1, config: Config | None = None) -> Iterator[tuple[int, str, str, list[int], bytes]]:
-    """(batch, name, dtype, shape, bytes) of every tensor, by batch, rank and place in the file, a partition at a time on the driver."""
-    from tensorfold.sources.archive import read_blocks, read_catalog
+Tensor = tuple[int, str, str, list[int], bytes]
 
+
+def _batch(spark: SparkSession, k: int, group: list[str], config: Config) -> Iterator[Tensor]:
+    """A batch's tensors in the order of its files and of each file, a partition at a time: blocks come in that order, so nothing is sorted."""
+    last, parts = None, []
+    for r in source(config.source)(spark, group, config).toLocalIterator():
+        if last is not None and (r["path"], r["name"]) != (last["path"], last["name"]):
+            yield k, last["name"], last["dtype"], list(last["shape"]), b"".join(parts)
+            parts = []
+        parts.append(bytes(r["payload"]))
+        last = r
+    if last is not None:
+        yield k, last["name"], last["dtype"], list(last["shape"]), b"".join(parts)
+
+
+def iterate(spark: SparkSession, paths: str | list[str], world_size: int = 1, config: Config | None = None) -> Iterator[Tensor]:
+    """(batch, name, dtype, shape, bytes) of every tensor, by batch, rank and place in the file, on the driver.
+
+    With the pipeline on, a thread loads batches ahead: ``batches_in_memory(queue_size)`` of them are held at once. Without it a
+    partition is held at a time.
+    """
     files = discover(paths)
-    config = config or Config()
-    for k in range(0, len(files), world_size):
-        group = files[k : k + world_size]
-        shown = read_catalog(spark, group).select("path", "name", "off_start", "off_end")
-        at = spark.createDataFrame([(p, r) for r, p in enumerate(group)], "path string, rank int")
-        blocks = read_blocks(spark, group, block_bytes=config.block_bytes).join(F.broadcast(shown), ["path", "name"]).join(F.broadcast(at), "path")
-        parts: list[bytes] = []
-        last = None
-        for r in blocks.orderBy("rank", "off_start", "off_end", "block_id").toLocalIterator():
-            if last is not None and (r["path"], r["name"]) != (last["path"], last["name"]):
-                yield k // world_size, last["name"], last["dtype"], list(last["shape"]), b"".join(parts)
-                parts = []
-            parts.append(bytes(r["payload"]))
-            last = r
-        if last is not None:
-            yield k // world_size, last["name"], last["dtype"], list(last["shape"]), b"".join(parts)
-
-
-def bandwidth(timings: DataFrame, rank: str, begin: str, end: str, nbytes: str) -> DataFrame:
-    """A row for all ranks: first begin, last end, bytes and GiB a second."""
-    return timings.agg(F.min(begin).alias("t0"), F.max(end).alias("t1"), F.sum(nbytes).alias("nbytes"), F.countDistinct(rank).alias("ranks")).withColumn("gib_s", F.col("nbytes") / (1 << 30) / (F.col("t1") - F.col("t0")))
+    config = config or load_config()
+    groups = [files[k : k + world_size] for k in range(0, len(files), world_size)]
+    if config.pipeline_options()["queue_size"] < 0:
+        for k, group in enumerate(groups):
+            yield from _batch(spark, k, group, config)
+            progress(k + 1, len(groups), config)
+        return
+    ready: queue.Queue = queue.Queue(max(1, batches_in_memory(config.queue_size) - 1))
+    stop = threading.Event()
+
+    def put(item) -> bool:
+        while not stop.is_set():
+            try:
+                ready.put(item, timeout=0.2)
+                return True
+            except queue.Full:
+                continue
+        return False
+
+    def load():
+        try:
+            for k, group in enumerate(groups):
+                if not put(list(_batch(spark, k, group, config))):
+                    return
+            put(None)
+        except BaseException as e:  # the consumer raises it
+            put(e)
+
+    worker = threading.Thread(target=load, daemon=True, name="tensorfold-producer")
+    worker.start()
+    try:
+        done = 0
+        while (got := ready.get()) is not None:
+            if isinstance(got, BaseException):
+                raise got
+            yield from got
+            progress(done := done + 1, len(groups), config)
+    finally:
+        stop.set()
+        worker.join()
+
+
+def progress(done: int, total: int, config: Config) -> None:
+    """A line for each batch on the driver, which alone speaks for all ranks, if the configuration wants it."""
+    if config.show_progress:
+        logger(config).info("%3d%% | %d of %d batches", 100 * done // max(total, 1), done, total)
+
+
+def stamp(seconds: float) -> str:
+    """Seconds since 1970 as local time with milliseconds."""
+    return time.strftime("%Y-%m-%d %H:%M:%S", time.localtime(seconds)) + f".{int(seconds % 1 * 1000):03d}"
+
+
+def stamp_of(seconds: Column) -> Column:
+    """The same as a column, in the session's time zone."""
+    return F.date_format(F.timestamp_millis(F.floor(seconds * 1000).cast("bigint")), "yyyy-MM-dd HH:mm:ss.SSS")
+
+
+def bandwidth(timings: DataFrame, rank: str, begin: str, end: str, nbytes: str, by: list[str] | None = None) -> DataFrame:
+    """First begin, last end, bytes, ranks and GiB a second: of all ranks, or of each group. Begin and end are in seconds."""
+    gib = F.col("nbytes") / (1 << 30) / (F.col("t1") - F.col("t0"))
+    return timings.groupBy(*(by or [])).agg(F.min(begin).alias("t0"), F.max(end).alias("t1"), F.sum(nbytes).alias("nbytes"), F.countDistinct(rank).alias("ranks")).withColumn("gib_s", F.when(F.col("t1") > F.col("t0"), gib))
