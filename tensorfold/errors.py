@@ -60,3 +60,6 @@ class UnknownSource(KeyError): ...
 
 
 class InvalidConfig(ValueError): ...
+
+
+class NoWorkspace(RuntimeError): ...

@@ -193,15 +193,35 @@ def pack_vectors(df: DataFrame, name: str, index: str, vec: str, wide: int, n: i
     return dealt.groupBy("k").applyInArrow(pack, TENSOR_BLOCKS)
 
 
+def pack_columns(df: DataFrame, index: str, columns: list[tuple[str, str]], n: int, rows_a_block: int = 1 << 18) -> DataFrame:
+    """Blocks of [n] tensors, one for each (column, dtype), of rows with a dense place ``index`` from 0. One shuffle serves all columns."""
+
+    def pack(key, t):
+        t = t.sort_by("__i")
+        k = key[0].as_py()
+        raw = [D.encode(kind, t.column(c).to_numpy()) for c, kind in columns]
+        return pa.table({"name": [c for c, _ in columns], "dtype": [kind for _, kind in columns], "shape": pa.array([[n]] * len(columns), pa.list_(pa.int64())), "elem_start": pa.array([k * rows_a_block] * len(columns), pa.int64()), "payload": pa.array(raw, pa.binary())})
+
+    dealt = df.select(F.col(index).cast("bigint").alias("__i"), *[c for c, _ in columns], F.expr(f"{index} div {rows_a_block}").alias("__k"))
+    return dealt.groupBy("__k").applyInArrow(pack, TENSOR_BLOCKS)
+
+
 def pack_column(df: DataFrame, name: str, index: str, value: str, n: int, dtype: str, rows_a_block: int = 1 << 20) -> DataFrame:
     """Blocks of an [n] tensor, of rows with a dense place ``index`` from 0 and a value."""
+    return pack_columns(df.select(index, F.col(value).alias(name)), index, [(name, dtype)], n, rows_a_block)
 
-    def pack(key, t):
-        t = t.sort_by("i")
-        return pa.table({"name": [name], "dtype": [dtype], "shape": pa.array([[n]], pa.list_(pa.int64())), "elem_start": pa.array([key[0].as_py() * rows_a_block], pa.int64()), "payload": pa.array([D.encode(dtype, t.column("v").to_numpy())], pa.binary())})
 
-    dealt = df.select(F.col(index).cast("bigint").alias("i"), F.col(value).alias("v"), F.expr(f"{index} div {rows_a_block}").alias("k"))
-    return dealt.groupBy("k").applyInArrow(pack, TENSOR_BLOCKS)
+def pack_each(df: DataFrame, name: Column, value: str, dtype: str) -> DataFrame:
+    """(name, dtype, shape, payload): each row's vector, string or bytes as a tensor of its own."""
+
+    def pack(batches):
+        for b in batches:
+            raw = [D.encode(dtype, np.frombuffer(v, np.uint8) if isinstance(v, bytes) else np.array(v)) for v in b.column("value").to_pylist()]
+            size = D.dtype(dtype).size
+            yield pa.RecordBatch.from_arrays([b.column("name"), pa.array([dtype] * len(raw)), pa.array([[int(len(r) / size)] for r in raw], pa.list_(pa.int64())), pa.array(raw, pa.binary())], names=["name", "dtype", "shape", "payload"])
+
+    kind = dict(df.dtypes)[value]
+    return df.select(name.alias("name"), (F.encode(value, "UTF-8") if kind == "string" else F.col(value)).alias("value")).mapInArrow(pack, "name string, dtype string, shape array<bigint>, payload binary")
 
 
 TENSOR_BLOCKS = "name string, dtype string, shape array<bigint>, elem_start bigint, payload binary"

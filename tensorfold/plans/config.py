@@ -20,7 +20,7 @@ class Config:
     """Scalars come from the top level or from the groups ``parallel`` and ``debug``; any other object is the section of a source."""
 
     source: str = "base"
-    block_bytes: int = 64 << 20
+    block_bytes: int = 8 << 20
     use_pipeline: bool = True
     max_concurrent_producers: int = 1
     queue_size: int = 0

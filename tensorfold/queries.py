@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import os
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tensorfold.functions import dtypes as D
 from tensorfold.operators import catalog as C
 from tensorfold.operators import exchange as X
 from tensorfold.operators import tensors as T
 from tensorfold.operators.indexing import running
 from tensorfold.plans import placement as P
+from tensorfold.plans.session import Tensors, open_tensors
+from tensorfold.plans.workspace import local_folder
+from tensorfold.sources import archive as A
+from tensorfold.streaming import pipeline as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -36,6 +43,55 @@ def _documents(spark, d):
     return table(spark, d, "documents").select("doc_id", F.octet_length("text").cast("bigint").alias("nb"))
 
 
+def archived(spark: SparkSession, d: str, what: str, build: Callable[[str], None]) -> str:
+    """The folder of archives made of the tables in ``d``, written once a session."""
+    path = local_folder(spark, f"archives-{spark.sparkContext.applicationId}-{zlib.crc32(d.encode()):08x}/{what}")
+    if not os.path.exists(f"{path}/done"):
+        build(path)
+        open(f"{path}/done", "w").close()
+    return path
+
+
+def _embeddings(spark, d, world: int = 1) -> Tensors:
+    """The embeddings as one [n, 64] tensor."""
+
+    def build(path):
+        e = table(spark, d, "embeddings").select("vec_id", "embedding")
+        A.write_archive(T.pack_vectors(running(e, "vec_id", 1, "i"), "embeddings", "i", "embedding", VEC, e.count()), path, mode="overwrite")
+
+    return open_tensors(spark, archived(spark, d, "embeddings", build), world)
+
+
+def _vectors(spark, d) -> Tensors:
+    """Each embedding as a tensor of its own."""
+
+    def build(path):
+        A.write_archive(T.pack_each(table(spark, d, "embeddings"), F.concat(F.lit("vec."), "vec_id"), "embedding", "F32"), path, 4, mode="overwrite")
+
+    return open_tensors(spark, archived(spark, d, "vectors", build))
+
+
+def _lineitem(spark, d) -> Tensors:
+    """The numeric columns of lineitem as [n] tensors, in the order of the table's rows."""
+
+    def build(path):
+        rows = table(spark, d, "lineitem").select(F.monotonically_increasing_id().alias("__key"), *[c for c, _, _ in COLUMNS])
+        A.write_archive(T.pack_columns(running(rows, "__key", 1, "__at"), "__at", [(c, k) for c, k, _ in COLUMNS], rows.count()), path, 2, mode="overwrite")
+
+    return open_tensors(spark, archived(spark, d, "lineitem", build))
+
+
+def _regions(spark, d) -> str:
+    """A folder with an archive for each region: its nations' names as tensors of bytes, its own name as metadata."""
+
+    def build(path):
+        for r in table(spark, d, "region").collect():
+            own = table(spark, d, "nation").where(F.col("n_regionkey") == r["r_regionkey"])
+            A.write_archive(T.pack_each(own, F.concat(F.lit("nation."), "n_nationkey"), "n_name", "U8"), f"{path}/region-{r['r_regionkey']}", 1, {"region": r["r_name"]}, "overwrite")
+
+    return archived(spark, d, "regions", build)
+
+
 # The numeric columns of lineitem as tensors.
 COLUMNS = [("l_orderkey", "I64", 8), ("l_partkey", "I64", 8), ("l_suppkey", "I64", 8), ("l_linenumber", "I32", 4), ("l_quantity", "F64", 8), ("l_extendedprice", "F64", 8), ("l_discount", "F64", 8), ("l_tax", "F64", 8)]
 COLUMN_ROWS = ",".join(f"({k},'{n}','{t}',{w})" for k, (n, t, w) in enumerate(COLUMNS))
@@ -52,14 +108,13 @@ def q_catalog(spark, d):
 
 @query("SELECT 'vec.' || vec_id AS name, generate_subscripts(embedding,1)-1 AS pos, unnest(embedding)::DOUBLE AS value FROM embeddings WHERE vec_id = 7")
 def q_get_tensor(spark, d):
-    one = table(spark, d, "embeddings").where("vec_id = 7").select(F.concat(F.lit("vec."), "vec_id").alias("name"), "embedding")
-    return T.explode_vector(one, "embedding", "pos").withColumn("value", F.col("value").cast("double"))
+    return _vectors(spark, d).tensor("vec.7").select("name", "pos", "value")
 
 
 @query("SELECT 'embeddings' AS name, count(*) AS dim0, max(len(embedding)) AS dim1, CAST(count(*)*max(len(embedding))*4 AS BIGINT) AS nbytes FROM embeddings")
 def q_get_shape(spark, d):
-    shape = table(spark, d, "embeddings").agg(F.count("*").alias("dim0"), F.max(F.size("embedding")).cast("bigint").alias("dim1"))
-    return shape.select(F.lit("embeddings").alias("name"), "dim0", "dim1", (F.col("dim0") * F.col("dim1") * 4).alias("nbytes"))
+    shape = _embeddings(spark, d).shape("embeddings")
+    return spark.createDataFrame([("embeddings", *shape, D.nbytes("F32", shape))], "name string, dim0 bigint, dim1 bigint, nbytes bigint")
 
 
 @query("SELECT vec_id, (vec_id-10)//7 AS out_row, embedding[1]::DOUBLE AS first_val FROM embeddings WHERE vec_id >= 10 AND vec_id < 200 AND (vec_id-10) % 7 = 0")
@@ -73,10 +128,10 @@ def q_slice_cols(spark, d):
     return kept.select("vec_id", F.expr("(z.d - 4) div 8").alias("out_col"), F.col("z.value").cast("double").alias("value"))
 
 
-@query("SELECT 4 - vec_id AS out_row, vec_id, embedding[len(embedding)]::DOUBLE AS last_val FROM embeddings WHERE vec_id < 5")
+@query("SELECT n - 1 - vec_id AS out_row, vec_id, embedding[len(embedding)]::DOUBLE AS last_val FROM embeddings, (SELECT count(*) AS n FROM embeddings)")
 def q_slice_negative(spark, d):
-    back = T.slice_rows(table(spark, d, "embeddings"), "vec_id", None, None, -1, 5)
-    return back.select("out_row", "vec_id", F.element_at("embedding", -1).cast("double").alias("last_val"))
+    e = table(spark, d, "embeddings")
+    return T.slice_rows(e, "vec_id", None, None, -1, e.count()).select("out_row", "vec_id", F.element_at("embedding", -1).cast("double").alias("last_val"))
 
 
 @query("SELECT vec_id // ((n+3)//4) AS rank, count(*) AS nrows, min(vec_id) AS lo, max(vec_id) AS hi FROM embeddings, (SELECT count(*) AS n FROM embeddings) GROUP BY 1")
@@ -98,15 +153,15 @@ def q_shard_uneven(spark, d):
     return X.per_rank(X.shard(r, F.col("r_regionkey"), r.count(), 4), 4, F.count("*").alias("nelem"), fill={"nelem": 0})
 
 
-@query("SELECT r.rank, e.vec_id, e.embedding[1]::DOUBLE AS first_val FROM (SELECT unnest(range(4)) AS rank) r, embeddings e WHERE e.vec_id < 20")
+@query("SELECT r.rank, e.vec_id, e.embedding[1]::DOUBLE AS first_val FROM (SELECT unnest(range(4)) AS rank) r, embeddings e")
 def q_broadcast(spark, d):
-    e = table(spark, d, "embeddings").where("vec_id < 20").select("vec_id", F.element_at("embedding", 1).cast("double").alias("first_val"))
+    e = table(spark, d, "embeddings").select("vec_id", F.element_at("embedding", 1).cast("double").alias("first_val"))
     return X.broadcast(e, 4).select("rank", "vec_id", "first_val")
 
 
-@query("SELECT r.rank, count(e.vec_id) AS ntensors FROM (SELECT unnest(range(4)) AS rank) r LEFT JOIN embeddings e ON e.vec_id % 4 = r.rank AND e.vec_id < 10 GROUP BY 1")
+@query("SELECT r.rank, count(e.vec_id) AS ntensors FROM (SELECT unnest(range(4)) AS rank) r LEFT JOIN embeddings e ON e.vec_id % 4 = r.rank GROUP BY 1")
 def q_push(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id").where("vec_id < 10")
+    e = table(spark, d, "embeddings").select("vec_id")
     return X.per_rank(X.push(e, F.col("vec_id") % 4, 4), 4, F.count("*").alias("ntensors"), fill={"ntensors": 0})
 
 
@@ -149,7 +204,7 @@ def q_round_robin(spark, d):
 
 @query("SELECT doc_id % 4 AS rank, count(*) AS nfiles, CAST(sum(octet_length(encode(text))) AS BIGINT) AS nbytes, max(octet_length(encode(text))) AS max_file FROM documents GROUP BY 1")
 def q_rank_bytes(spark, d):
-    return _documents(spark, d).groupBy((F.col("doc_id") % 4).alias("rank")).agg(F.count("*").alias("nfiles"), F.sum("nb").alias("nbytes"), F.max("nb").alias("max_file"))
+    return P.rank_totals(X.push(_documents(spark, d), F.col("doc_id") % 4, 4), "nb", 4)
 
 
 @query("SELECT b AS batch, count(*) AS nfiles, min(i) AS first_file, max(i) AS last_file FROM (SELECT i, i // 3 AS b FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents)) GROUP BY 1")
@@ -196,33 +251,44 @@ def q_key_dim(spark, d):
 
 @query("SELECT d.doc_id, coalesce('label.' || l.doc_id, 'doc.' || d.doc_id) AS resolved FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
 def q_alias(spark, d):
-    known = table(spark, d, "labels").select("doc_id", F.concat(F.lit("label."), "doc_id").alias("label"))
-    return table(spark, d, "documents").select("doc_id").join(known, "doc_id", "left").select("doc_id", F.coalesce("label", F.concat(F.lit("doc."), "doc_id")).alias("resolved"))
+    names = table(spark, d, "documents").select("doc_id", F.concat(F.lit("doc."), "doc_id").alias("name"))
+    held = table(spark, d, "labels").select(F.concat(F.lit("label."), "doc_id").alias("name"))
+    aliases = names.select("name", F.concat(F.lit("label."), "doc_id").alias("alias"), F.lit(0).alias("ord"))
+    return C.resolve_alias(names.select("name").distinct(), aliases.distinct(), held).join(names, "name").select("doc_id", "resolved")
 
 
-@query("SELECT l_orderkey, l_linenumber, CAST(CAST(l_extendedprice AS FLOAT) AS DOUBLE) AS price_f32, CAST(l_partkey AS INTEGER) AS partkey_i32 FROM lineitem WHERE l_orderkey < 200")
+@query("SELECT l_orderkey, l_linenumber, CAST(CAST(l_extendedprice AS FLOAT) AS DOUBLE) AS price_f32, CAST(l_partkey AS INTEGER) AS partkey_i32 FROM lineitem")
 def q_cast_narrow(spark, d):
-    kept = table(spark, d, "lineitem").where("l_orderkey < 200")
-    return kept.select("l_orderkey", "l_linenumber", F.col("l_extendedprice").cast("float").cast("double").alias("price_f32"), F.col("l_partkey").cast("int").alias("partkey_i32"))
+    t = _lineitem(spark, d)
+    price = T.elements(T.cast_blocks(t.blocks("l_extendedprice"), "F32")).select("pos", F.col("value").alias("price_f32"))
+    part = T.elements(T.cast_blocks(t.blocks("l_partkey"), "I32")).select("pos", F.col("value").cast("int").alias("partkey_i32"))
+    key = t.tensor("l_orderkey").select("pos", F.col("raw").alias("l_orderkey"))
+    line = t.tensor("l_linenumber").select("pos", F.col("raw").cast("int").alias("l_linenumber"))
+    return price.join(part, "pos").join(key, "pos").join(line, "pos").drop("pos")
 
 
-@query("SELECT (vec_id*64 + d)//8 AS row, (vec_id*64 + d) % 8 AS col, v::DOUBLE AS value FROM (SELECT vec_id, generate_subscripts(embedding,1)-1 AS d, unnest(embedding) AS v FROM embeddings) WHERE vec_id < 50")
+@query("SELECT (vec_id*64 + d)//8 AS row, (vec_id*64 + d) % 8 AS col, v::DOUBLE AS value FROM (SELECT vec_id, generate_subscripts(embedding,1)-1 AS d, unnest(embedding) AS v FROM embeddings)")
 def q_reshape(spark, d):
-    return T.reshape_rows(table(spark, d, "embeddings").where("vec_id < 50"), "vec_id", "embedding", VEC, 8).withColumn("value", F.col("value").cast("double"))
+    t = _embeddings(spark, d)
+    shaped = T.reshape(t.tensor("embeddings"), t.shape("embeddings"), [-1, 8])
+    return shaped.select(F.col("index")[0].alias("row"), F.col("index")[1].alias("col"), "value")
 
 
 @query("SELECT count(*) FILTER (WHERE a.embedding = b.embedding) AS equal_next, count(*) AS pairs FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def q_is_equal(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    pairs = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next")), "vec_id")
-    return pairs.agg(F.count_if(F.col("embedding") == F.col("next")).alias("equal_next"), F.count("*").alias("pairs"))
+    t = _embeddings(spark, d)
+    n = t.shape("embeddings")[0]
+    e = t.tensor("embeddings").select(F.expr(f"pos div {VEC}").alias("name"), (F.col("pos") % VEC).alias("pos"), "raw")
+    odd = T.differs(e.where(F.col("name") < n - 1), e.where("name > 0").withColumn("name", F.col("name") - 1))
+    return odd.agg((F.lit(n - 1) - F.count_distinct("name")).alias("equal_next")).withColumn("pairs", F.lit(n - 1).cast("bigint"))
 
 
 @query("SELECT user_id % 4 AS rank, min(epoch_us(ts)) AS t0, max(epoch_us(ts)) AS t1, count(*) AS n FROM events GROUP BY 1")
 def q_bandwidth(spark, d):
     # The timestamps have no zone; their microseconds are counted as they stand.
     us = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))")
-    return table(spark, d, "events").select((F.col("user_id") % 4).alias("rank"), us.alias("us")).groupBy("rank").agg(F.min("us").alias("t0"), F.max("us").alias("t1"), F.count("*").alias("n"))
+    timings = table(spark, d, "events").select((F.col("user_id") % 4).alias("rank"), us.alias("us"), F.lit(1).cast("bigint").alias("one"))
+    return S.bandwidth(timings, "rank", "us", "us", "one", by=["rank"]).select("rank", "t0", "t1", F.col("nbytes").alias("n"))
 
 
 @query("SELECT s_suppkey, CAST((s_nationkey + 1) * CAST(pow(2, ceil(log2(n+1))) AS BIGINT) + i AS BIGINT) AS tag FROM (SELECT s_suppkey, s_nationkey, row_number() OVER (ORDER BY s_suppkey) AS i, count(*) OVER () AS n FROM supplier)")
@@ -231,35 +297,103 @@ def q_tags(spark, d):
     return running(s, "s_suppkey", 1, "i").select("s_suppkey", (F.shiftleft((F.col("s_nationkey") + 1).cast("bigint"), P.tag_bits(s.count())) + F.col("i") + 1).alias("tag"))
 
 
-# The five operators whose given statements take a few ids, over whole tables.
+# Archives made of the tables, read through the data source.
 
 
-@query("SELECT n - 1 - vec_id AS out_row, vec_id, embedding[len(embedding)]::DOUBLE AS last_val FROM embeddings, (SELECT count(*) AS n FROM embeddings)")
-def q_slice_negative_whole(spark, d):
-    e = table(spark, d, "embeddings")
-    return T.slice_rows(e, "vec_id", None, None, -1, e.count()).select("out_row", "vec_id", F.element_at("embedding", -1).cast("double").alias("last_val"))
+@query(f"SELECT name, dtype, c AS nelem, CAST(c*size AS BIGINT) AS nbytes, 1 AS ndim FROM (SELECT count(*) AS c FROM lineitem) n, (VALUES {COLUMN_ROWS}) t(ord,name,dtype,size)")
+def q_archive_catalog(spark, d):
+    return _lineitem(spark, d).catalog.select("name", "dtype", "nelem", "nbytes", "ndim")
 
 
-@query("SELECT r.rank, e.vec_id, e.embedding[1]::DOUBLE AS first_val FROM (SELECT unnest(range(4)) AS rank) r, embeddings e")
-def q_broadcast_whole(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.element_at("embedding", 1).cast("double").alias("first_val"))
-    return X.broadcast(e, 4).select("rank", "vec_id", "first_val")
+@query("".join(f"SELECT '{c}' AS name, count(*) AS n, CAST(sum(CAST({c} AS DECIMAL(38,6))) AS DOUBLE) AS total, min({c})::DOUBLE AS low, max({c})::DOUBLE AS high FROM lineitem UNION ALL " for c, _, _ in COLUMNS).removesuffix(" UNION ALL "))
+def q_archive_columns(spark, d):
+    t = _lineitem(spark, d)
+    every = T.elements(t.blocks(*[c for c, _, _ in COLUMNS]))
+    return every.groupBy("name").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(38,6)")).cast("double").alias("total"), F.min("value").alias("low"), F.max("value").alias("high"))
 
 
-@query("SELECT r.rank, count(e.vec_id) AS ntensors FROM (SELECT unnest(range(4)) AS rank) r LEFT JOIN embeddings e ON e.vec_id % 4 = r.rank GROUP BY 1")
-def q_push_whole(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id")
-    return X.per_rank(X.push(e, F.col("vec_id") % 4, 4), 4, F.count("*").alias("ntensors"), fill={"ntensors": 0})
+# Of each type, a row's value as SQL; every type holds its own exactly.
+TYPED = {
+    "BOOL": "c_custkey % 2", "I8": "c_custkey % 200 - 100", "I16": "c_custkey % 60000 - 30000", "I32": "c_custkey * 1000 - 7", "I64": "c_custkey * 1000000007", "U8": "c_custkey % 256", "U16": "c_custkey % 65536", "U32": "c_custkey * 1001",
+    "U64": "c_custkey * 1000003", "F16": "c_custkey % 2048", "BF16": "c_custkey % 256 - 100", "F32": "c_custkey + 0.5", "F64": "c_custkey + 0.25", "F8_E5M2": "c_custkey % 5 - 2", "F8_E4M3": "c_custkey % 17 - 8", "F8_E8M0": "1 + c_custkey % 2", "F4": "c_custkey % 5 - 2",
+}
 
 
-@query("SELECT l_orderkey, l_linenumber, CAST(CAST(l_extendedprice AS FLOAT) AS DOUBLE) AS price_f32, CAST(l_partkey AS INTEGER) AS partkey_i32 FROM lineitem")
-def q_cast_narrow_whole(spark, d):
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").cast("float").cast("double").alias("price_f32"), F.col("l_partkey").cast("int").alias("partkey_i32"))
+@query(" UNION ALL ".join(f"SELECT '{k}' AS dtype, i AS pos, CAST({v} AS DOUBLE) AS value FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM customer)" for k, v in TYPED.items()))
+def q_decode_types(spark, d):
+    def build(path):
+        c = running(table(spark, d, "customer").select("c_custkey"), "c_custkey", 1, "i")
+        n = c.count()
+        even = c.unionByName(spark.createDataFrame([(0, n)], c.schema)) if n % 2 else c  # packed values come in pairs
+        packed = T.pack_columns(c.select("i", *[F.expr(v).cast("double" if k[0] in "FB" else "decimal(20,0)" if k == "U64" else "bigint").cast("double" if k != "I64" else "bigint").alias(k) for k, v in TYPED.items() if k != "F4"]), "i", [(k, k) for k in TYPED if k != "F4"], n)
+        A.write_archive(packed.unionByName(T.pack_columns(even.select("i", F.expr(TYPED["F4"]).cast("double").alias("F4")), "i", [("F4", "F4")], n + n % 2)), path, 3, mode="overwrite")
 
+    t = open_tensors(spark, archived(spark, d, "typed", build))
+    n = t.shape("BOOL")[0]
+    found = T.elements(t.blocks(*TYPED)).where(F.col("pos") < n)
+    return found.select(F.col("name").alias("dtype"), "pos", "value")
 
-@query("SELECT (vec_id*64 + d)//8 AS row, (vec_id*64 + d) % 8 AS col, v::DOUBLE AS value FROM (SELECT vec_id, generate_subscripts(embedding,1)-1 AS d, unnest(embedding) AS v FROM embeddings)")
-def q_reshape_whole(spark, d):
-    return T.reshape_rows(table(spark, d, "embeddings"), "vec_id", "embedding", VEC, 8).withColumn("value", F.col("value").cast("double"))
+
+@query("SELECT (n - 6 - vec_id) // 7 * 20 + (60 - d) // 3 AS pos, v::DOUBLE AS value FROM (SELECT vec_id, generate_subscripts(embedding,1)-1 AS d, unnest(embedding) AS v FROM embeddings), (SELECT count(*) AS n FROM embeddings) WHERE vec_id <= n - 6 AND (n - 6 - vec_id) % 7 = 0 AND vec_id >= 0 AND d BETWEEN 3 AND 60 AND (60 - d) % 3 = 0")
+def q_slice_nd(spark, d):
+    return _embeddings(spark, d).slice("embeddings", (slice(-6, None, -7), slice(60, 2, -3))).select("pos", "value")
+
+
+@query("SELECT vec_id * 11 + d - 22 AS pos, v::DOUBLE AS value FROM (SELECT vec_id, generate_subscripts(embedding,1)-1 AS d, unnest(embedding) AS v FROM embeddings) WHERE d >= 22 AND d < 33")
+def q_shard_rank(spark, d):
+    return _embeddings(spark, d, 6).shard("embeddings", 1, 2).select("pos", "value")
+
+
+def _halves(spark, d, world: int):
+    """The embeddings [n, 64] and their first 10 columns [n, 10], as parts to join along dimension 1."""
+    t = _embeddings(spark, d, world)
+    n = t.shape("embeddings")[0]
+    return [(t.tensor("embeddings"), [n, VEC]), (t.slice("embeddings", (slice(None), slice(0, 10))), [n, 10])]
+
+
+@query("""WITH e AS (SELECT vec_id, generate_subscripts(embedding,1)-1 AS d, unnest(embedding) AS v FROM embeddings),
+s AS (SELECT 0 AS t, vec_id, d // 22 AS rank, d, v FROM e UNION ALL SELECT 1, vec_id, d // 4, d, v FROM e WHERE d < 10)
+SELECT rank, row_number() OVER (PARTITION BY rank ORDER BY vec_id, t, d) - 1 AS pos, v::DOUBLE AS value FROM s""")
+def q_multi_cols_dim1(spark, d):
+    return X.joined(_halves(spark, d, 3), 1, 3).select("rank", "pos", "value")
+
+
+@query("SELECT vec_id * 74 + d AS pos, v::DOUBLE AS value FROM (SELECT vec_id, generate_subscripts(embedding,1)-1 AS d, unnest(embedding) AS v FROM embeddings) UNION ALL SELECT vec_id * 74 + 64 + d, v::DOUBLE FROM (SELECT vec_id, generate_subscripts(embedding,1)-1 AS d, unnest(embedding) AS v FROM embeddings) WHERE d < 10")
+def q_concat_dim1(spark, d):
+    return X.joined(_halves(spark, d, 1), 1).select("pos", "value")
+
+
+@query("SELECT vec_id AS row, i - 1 AS col, embedding[i]::DOUBLE AS value FROM embeddings, (SELECT unnest(range(1, 65)) AS i)")
+def q_round_trip(spark, d):
+    """Blocks of a few rows, written as another archive of blocks, and read by row."""
+
+    def build(path):
+        few = A.read_blocks(spark, _embeddings(spark, d).paths, block_bytes=37 * VEC * 4)
+        A.write_archive(few.select("name", "dtype", "shape", "elem_start", "payload"), path, mode="overwrite")
+
+    back = T.rows(A.read_blocks(spark, archived(spark, d, "again", build), block_bytes=100))
+    return back.select("row", F.posexplode("vec").alias("col", "value")).withColumn("col", F.col("col").cast("bigint"))
+
+
+@query("SELECT 'nation.' || n_nationkey AS name, 'region-' || n_regionkey AS folder FROM nation")
+def q_filename(spark, d):
+    catalog = A.read_catalog(spark, _regions(spark, d))
+    wanted = table(spark, d, "nation").select(F.concat(F.lit("nation."), "n_nationkey").alias("name"))
+    return C.filename_of(catalog, wanted).select("name", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("folder"))
+
+
+@query("SELECT 'region-' || r_regionkey AS folder, 'region' AS key, r_name AS value FROM region")
+def q_metadata(spark, d):
+    found = C.file_metadata(A.read_catalog(spark, _regions(spark, d)))
+    return found.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("folder"), "key", "value")
+
+
+@query("SELECT CAST(n_regionkey // 2 AS INTEGER) AS batch, CAST(n_regionkey % 2 AS INTEGER) AS rank, CAST(1 AS BIGINT) AS files, count(*) AS tensors, CAST(sum(octet_length(encode(n_name))) AS BIGINT) AS nbytes FROM nation GROUP BY 1, 2")
+def q_stream_batches(spark, d):
+    """Files by batches of two, as Structured Streaming hands them out."""
+    out = f"{archived(spark, d, 'streamed', os.makedirs)}/{os.urandom(6).hex()}"
+    S.for_each_batch(spark, _regions(spark, d), lambda df, k: S.batch_metrics(df).write.mode("overwrite").parquet(f"file://{out}/batches/n={k}"), f"file://{out}/checkpoint", 2)
+    return spark.read.parquet(f"file://{out}/batches").select("batch", "rank", "files", "tensors", "nbytes")
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

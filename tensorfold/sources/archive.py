@@ -33,7 +33,7 @@ from tensorfold.sources.header import ALIGNMENT, Entry, Header, from_buffer, rea
 CATALOG = "path string, name string, dtype string, shape array<bigint>, ndim int, nelem bigint, nbytes bigint, off_start bigint, off_end bigint, header_length bigint, file_size bigint, aligned boolean, metadata map<string,string>"
 BLOCKS = "path string, name string, dtype string, shape array<bigint>, block_id int, elem_start bigint, elem_count bigint, payload binary"
 TENSOR_ROWS = "path string, name string, dtype string, shape array<bigint>, payload binary"
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 8 << 20
 PARTITION_BYTES = 128 << 20
 BATCH_BYTES = 8 << 20
 FILES_TOGETHER = 256
