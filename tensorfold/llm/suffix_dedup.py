@@ -11,6 +11,8 @@
    Anchors with more than ``most`` kinds of segment are split by window instead: one row a window, and the same minimum and join.
 4. Ranges are joined to their rows, and merged.
 
+Strings are compared by 64-bit hashes of their bytes, with the anchor's; long texts are looked at in overlapping tiles, so memory follows the text's length once.
+
 Contract. A null text is empty. A null doc_id comes after all others. Rows that share a doc_id and differ in text are
 documents of their own, ordered by the text's fingerprint; rows alike in both are the same document and don't repeat
 each other. Other columns pass through. An empty table gives an empty result.
@@ -37,6 +39,8 @@ MOST_KINDS = 4096
 BATCH_SYMBOLS = 24_000
 U = np.uint64
 PLACE_BITS = 31
+#: Windows of a long text looked at together.
+TILE = 1 << 20
 
 SEGMENT = "h bigint, sh bigint, doc bigint, fp bigint, a int, n int, rel int"
 
@@ -60,8 +64,7 @@ def segments(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, anchor:
         return None
     runs = X.Runs(data)
     h = runs.fixed(anchor)
-    place_bits = max(1, int(len(data)).bit_length())
-    mask = U((1 << place_bits) - 1)
+    mask = U((1 << PLACE_BITS) - 1)  # one width everywhere, else equal windows of two buffers could differ in their anchors
     least = _sliding_least((h & ~mask) | np.arange(len(h), dtype=np.uint64), length - anchor + 1)
     at = (least & mask).astype(np.int64)
     lo, hi = bounds[:-1][long_enough], bounds[1:][long_enough] - length + 1
@@ -82,13 +85,25 @@ def segments(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, anchor:
     return row, start, end - start, at[start] - start, h[at[start]], runs
 
 
+def tiles(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH):
+    """(first row, offset in it, bytes, bounds) of rows together, and of parts of longer ones that overlap so that each window lies whole in one."""
+    for i, j in X.chunks(bounds):
+        size = int(bounds[j] - bounds[i])
+        if j - i > 1 or size < TILE + length:
+            yield i, 0, data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
+            continue
+        for at in range(0, size - length + 1, TILE):
+            part = data[bounds[i] + at : min(bounds[i] + at + TILE + length - 1, bounds[j])]
+            yield i, at, part, np.array([0, len(part)])
+
+
 @lean
 def _anchors(batches):
     """Anchor hashes, one row for each segment."""
     for b in batches:
         data, bounds = X.utf8(b.column("text"))
-        for i, j in X.chunks(bounds):
-            found = segments(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
+        for _, _, part, own in tiles(data, bounds):
+            found = segments(part, own)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(X.signed(found[4]))], names=["h"])
 
@@ -102,15 +117,15 @@ def _segments_among(bits):
         for b in batches:
             data, bounds = X.utf8(b.column("text"))
             doc, fp = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "fp"))
-            for i, j in X.chunks(bounds):
-                found = segments(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
+            for i, at, part, own in tiles(data, bounds):
+                found = segments(part, own)
                 if not found:
                     continue
                 row, start, n, rel, h, runs = found
                 ok = kept.passes(h)
                 row, start, n, rel, h = row[ok], start[ok], n[ok], rel[ok], h[ok]
                 sh = X.mix(runs.of(start, start + n + LENGTH - 1) + rel.astype(np.uint64))
-                a = start - (bounds[i : j + 1] - bounds[i])[row]
+                a = start - own[row] + at
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(X.signed(h)), pa.array(X.signed(sh)), pa.array(doc[i + row]), pa.array(fp[i + row]), pa.array(a.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(rel.astype(np.int32))],
                     names=["h", "sh", "doc", "fp", "a", "n", "rel"],
@@ -251,8 +266,7 @@ def repeated_ranges(docs: DataFrame, most: int = MOST_KINDS) -> DataFrame:
     listed = parts.groupBy("doc", "fp").agg(F.collect_list(F.struct("h", "kinds", "a", "n", "rel")).alias("parts"))
     cut = written(texts.join(listed, ["doc", "fp"]).dropDuplicates(["doc", "fp"]).mapInArrow(_cut, CUT).join(kinds, "h"), "cuts")
     few = cut.where(F.col("kinds") <= most).drop("kinds")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = few.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_suffix_sorted, RANGE)
+    sorted_ = few.repartition("h").sortWithinPartitions("h").mapInArrow(_suffix_sorted, RANGE)
     windows = cut.where(F.col("kinds") > most).drop("kinds").mapInArrow(_windows, "h bigint, d int, w bigint, doc bigint, fp bigint, s int")
     earliest = windows.groupBy("h", "d", "w").agg(F.min(F.struct("doc", "fp", "s")).alias("first"))
     later = windows.join(earliest, ["h", "d", "w"]).where(F.struct("doc", "fp", "s") != F.col("first")).select("doc", "fp", "s", (F.col("s") + LENGTH).alias("e"))

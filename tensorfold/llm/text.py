@@ -32,8 +32,9 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
-def chunks(bounds: np.ndarray, most: int = CHUNK_BYTES):
+def chunks(bounds: np.ndarray, most: int | None = None):
     """Ranges of rows with at most so many bytes; a longer row makes a range of its own."""
+    most = most or CHUNK_BYTES
     i, n = 0, len(bounds) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + most, "right")) - 1)
@@ -133,9 +134,16 @@ def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def word_hashes(data: np.ndarray, bounds: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each word, and where each row's words begin among them."""
-    data = LOWER[data] if lower else data
     starts, ends, first = words(data, bounds)
-    return Runs(data).of(starts, ends), first
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):  # some words at a time: a hash of bytes takes eight times their room
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + CHUNK_BYTES, "right")))
+        low = starts[at]
+        part = data[low : ends[to - 1]]
+        out[at:to] = Runs(LOWER[part] if lower else part).of(starts[at:to] - low, ends[at:to] - low)
+        at = to
+    return out, first
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:

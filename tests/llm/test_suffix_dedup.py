@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+
 from tensorfold.llm import suffix_dedup as S
 from tensorfold.llm.suffix_array import suffix_array
 
@@ -80,3 +82,27 @@ def test_edges(make, spark):
     assert out.columns == extra.columns
     rows = {r["doc_id"]: r["text"] for r in out.collect()}
     assert rows == {1: a, 2: "new words stand here"}
+
+
+def test_anchors_do_not_depend_on_what_lies_around():
+    rng = np.random.default_rng(5)
+    passage = rng.integers(97, 123, 400, dtype=np.uint8)
+    seen = set()
+    for size in (0, 3, 1000, 70_000, 600_000):
+        data = np.concatenate([rng.integers(97, 123, size, dtype=np.uint8), passage, rng.integers(97, 123, size // 2, dtype=np.uint8)])
+        _, start, n, rel, h, _ = S.segments(data, np.array([0, len(data)]))
+        place = {int(w): int(s + r) for s, k, r in zip(start, n, rel, strict=True) for w in range(s, s + k)}
+        seen.add(tuple(place[w] - size for w in range(size, size + 301)))
+    assert len(seen) == 1
+
+
+def test_long_texts_in_tiles(make, monkeypatch):
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(2000)]
+    prose = lambda n: " ".join(rng.choices(words, k=n))
+    shared = prose(400)
+    pairs = [(1, prose(3000) + shared + prose(100)), (2, shared[300:1500]), (3, prose(50) + shared + prose(2000) + shared), (4, "x" * 5000)]
+    want = sorted(map(str, S.digests(make(pairs)).collect()))
+    monkeypatch.setattr(S, "TILE", 700)
+    monkeypatch.setattr(S.X, "CHUNK_BYTES", 600)
+    assert sorted(map(str, S.digests(make(pairs)).collect())) == want
