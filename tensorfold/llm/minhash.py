@@ -3,22 +3,24 @@
 1. A document's set: hashes (64 bits) of its distinct 5-word shingles. Sets with equal fingerprints (two 64-bit sums over the whole set)
    are one class; its smallest document stands for it, so copies are never paired.
 2. Circulant MinHash (Li and Li, 2022): one permutation scatters the shingles, a second one, shifted by k for the k-th coordinate, orders
-   them; both are bijections of 32-bit numbers. 21 bands of 6 coordinates miss a pair of similarity 0.85 with probability 5e-5.
+   them; both are bijections of 32-bit numbers. Bands are as many as let a pair at the threshold slip with probability ``MISSED`` (21 of 6 coordinates at 0.85).
 3. Links are confirmed on full sets, in rounds without listing a bucket's pairs. In round one every member of a bucket is held
    against its smallest member. Confirmed links give components; a bucket whose members all share one is done. In round
    two the members of each other bucket are held against the smallest member outside the first one's component.
-4. What is still split goes, by connected set of buckets, to tasks that hold each member once: there a prefix-filtered index
-   over the sets finds every link between different components. Sets of buckets with more than ``block`` members are dealt
-   in blocks, a task for each pair of blocks, so no link is lost and no task grows.
+4. What is still split goes to tasks that hold each member once and find every link between different components by a prefix-filtered index
+   over the sets: a bucket of up to ``block`` members is one such group. Members of larger ones are grouped by the words of their prefixes instead: two similar sets
+   share one of the members that come first in their order, rarest first, so groups are as small as these are rare, and no link
+   is lost. Only a group that is still larger (many sets made of the same few shingles) is dealt in blocks, a task for each pair of blocks.
 
 Contract. A null or blank text has no shingles, no links and itself as component. A null doc_id is linked with
-nothing either, and has no component. Rows that share a doc_id are one document for links (any of its texts may link). Other
+nothing either, and has no component. A text of any length is read whole; its set is held by one task. Of documents that tie as a group's smallest there is one id. Rows that share a doc_id are one document for links (any of its texts may link). Other
 columns pass through. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from math import ceil, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +31,18 @@ from tensorfold.llm import text as X
 from tensorfold.llm.frames import batched, components, discard, lean, written
 
 WIDTH = 5
-BANDS, ROWS = 21, 6
 THRESHOLD = 85
+MISSED = 5e-5
 BLOCK = 256
 SIGNATURES = "doc bigint, n bigint, f1 bigint, f2 bigint, bands array<bigint>"
 
 
+def banding(threshold: int = THRESHOLD) -> tuple[int, int]:
+    """Bands, and coordinates in each."""
+    rows = 6 if threshold >= 85 else 5
+    return ceil(log(MISSED) / log1p(-((threshold / 100) ** rows))) if threshold < 100 else 1, rows
+
+
 def _scatter(x: np.ndarray) -> np.ndarray:
     """The first permutation, of 32-bit numbers."""
     x = x ^ (x >> np.uint32(16))
@@ -68,28 +76,31 @@ def sets_of(data: np.ndarray, bounds: np.ndarray, width: int = WIDTH) -> tuple[n
     return X.distinct(*X.shingles(*X.word_hashes(data, bounds), width))
 
 
-@lean
-def _signatures(batches):
-    for b in batches:
-        data, bounds = X.utf8(b.column("text"))
-        doc = b.column("doc")
-        for i, j in X.chunks(bounds):
-            sets, first = sets_of(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
-            n = np.diff(first)
-            some = n > 0
-            starts = first[:-1][some]
-            f1, f2 = np.zeros(j - i, np.uint64), np.zeros(j - i, np.uint64)
-            bands = np.zeros((j - i, BANDS), np.uint64)
-            if some.any():
-                f1[some] = np.add.reduceat(X.mix(sets), starts)
-                f2[some] = np.add.reduceat(X.mix(sets ^ X.BASE), starts)
-                least = circulant_minhash(sets, np.append(starts, len(sets)), BANDS * ROWS).astype(np.uint64).reshape(-1, BANDS, ROWS)
-                key = np.zeros(least.shape[:2], np.uint64)
-                for r in range(ROWS):
-                    key = X.mix(key * X.BASE + least[:, :, r] + X.U(r))
-                bands[some] = key
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)), pa.array(X.signed(bands[some].reshape(-1))))
-            yield pa.RecordBatch.from_arrays([doc.slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(X.signed(f1)), pa.array(X.signed(f2)), lists], names=["doc", "n", "f1", "f2", "bands"])
+def _signatures(n_bands: int, n_rows: int):
+    @lean
+    def sign(batches):
+        for b in batches:
+            data, bounds = X.utf8(b.column("text"))
+            doc = b.column("doc")
+            for i, j in X.chunks(bounds):
+                sets, first = sets_of(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
+                n = np.diff(first)
+                some = n > 0
+                starts = first[:-1][some]
+                f1, f2 = np.zeros(j - i, np.uint64), np.zeros(j - i, np.uint64)
+                bands = np.zeros((j - i, n_bands), np.uint64)
+                if some.any():
+                    f1[some] = np.add.reduceat(X.mix(sets), starts)
+                    f2[some] = np.add.reduceat(X.mix(sets ^ X.BASE), starts)
+                    least = circulant_minhash(sets, np.append(starts, len(sets)), n_bands * n_rows).astype(np.uint64).reshape(-1, n_bands, n_rows)
+                    key = np.zeros(least.shape[:2], np.uint64)
+                    for r in range(n_rows):
+                        key = X.mix(key * X.BASE + least[:, :, r] + X.U(r))
+                    bands[some] = key
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * n_bands)]).astype(np.int32)), pa.array(X.signed(bands[some].reshape(-1))))
+                yield pa.RecordBatch.from_arrays([doc.slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(X.signed(f1)), pa.array(X.signed(f2)), lists], names=["doc", "n", "f1", "f2", "bands"])
+
+    return sign
 
 
 def similar(a: np.ndarray, b: np.ndarray, threshold: int = THRESHOLD) -> bool:
@@ -126,11 +137,15 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([b.column("doc").slice(i, j - i), pa.array(raw, pa.binary())], names=["doc", "set"])
 
 
+def prefix_length(n: int, threshold: int = THRESHOLD) -> int:
+    """How many of a set's members, first in an order for all sets, hold one that it shares with each similar set."""
+    return n - -(-threshold * n // 100) + 1
+
+
 def links_between(sets: list[np.ndarray], component: list[int], allowed=None, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
     """Pairs of places whose sets are similar and whose components differ, enough of them to join all that belong together.
 
-    Members are indexed by the rarest part of their sets: two similar sets share one of the members that come first in
-    any order for all sets, here rarest first, within the first n - ceil(t * n) + 1. ``allowed`` tells which pairs are this task's.
+    Members are indexed by the prefixes of their sets, rarest first. ``allowed`` tells which pairs are this task's.
     """
     parent = {c: c for c in component}
 
@@ -145,7 +160,7 @@ def links_between(sets: list[np.ndarray], component: list[int], allowed=None, th
     for k in sorted(range(len(sets)), key=lambda i: len(sets[i])):
         s = sets[k]
         at = np.searchsorted(everything, s)
-        prefix = at[np.lexsort((at, counts[at]))][: len(s) - -(-threshold * len(s) // 100) + 1].tolist()
+        prefix = at[np.lexsort((at, counts[at]))][: prefix_length(len(s), threshold)].tolist()
         seen = set()
         for token in prefix:
             for other in index[token]:
@@ -160,20 +175,46 @@ def links_between(sets: list[np.ndarray], component: list[int], allowed=None, th
     return out
 
 
-def _link_blocks(key, table):
-    sets = [_set_of(x.as_buffer()) for x in table.column("set")]
-    doc, component, own = (table.column(c).to_pylist() for c in ("doc", "component", "own"))
-    i, j = key[1].as_py(), key[2].as_py()
-    found = links_between(sets, component, None if i == j else lambda x, y: own[x] != own[y])
-    return pa.table({"a": pa.array([doc[x] for x, _ in found], pa.int64()), "b": pa.array([doc[y] for _, y in found], pa.int64())})
+def _link_blocks(threshold: int):
+    def run(key, table):
+        sets = [_set_of(x.as_buffer()) for x in table.column("set")]
+        doc, component, own = (table.column(c).to_pylist() for c in ("doc", "component", "own"))
+        i, j = key[2].as_py(), key[3].as_py()
+        found = links_between(sets, component, None if i == j else lambda x, y: own[x] != own[y], threshold)
+        return pa.table({"a": pa.array([doc[x] for x, _ in found], pa.int64()), "b": pa.array([doc[y] for _, y in found], pa.int64())})
 
+    return run
 
-def groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+
+@lean
+def _members(batches):
+    """A row for each member of each set."""
+    for b in batches:
+        for doc, raw in zip(b.column("doc").to_pylist(), b.column("set"), strict=True):
+            own = X.signed(_set_of(raw.as_buffer()))
+            for i in range(0, len(own), 1 << 16):
+                part = own[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), doc)), pa.array(np.full(len(part), len(own))), pa.array(part)], names=["doc", "n", "token"])
+
+
+def _by_prefix(large: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """(g1, g2, doc, component): members under each word of their prefix that another of them has too."""
+    tokens = written(large.select("doc").join(sets, "doc").mapInArrow(_members, "doc bigint, n bigint, token bigint"), "tokens")
+    shared = tokens.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
+    own = tokens.join(shared, "token").groupBy("doc", "n").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("own"))
+    # Words that no other set has come first in the order and make no group.
+    length = F.expr(f"n - ({threshold} * n + 99) div 100 + 1")  # as in prefix_length
+    left = F.greatest(length - (F.col("n") - F.size("own")), F.lit(0)).cast("int")
+    first = own.select("doc", F.explode(F.slice("own", F.lit(1), left)).alias("x"))
+    return first.join(large, "doc").select(F.lit(-1).cast("bigint").alias("g1"), F.col("x.token").alias("g2"), "doc", "component")
+
+
+def groups(docs: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of documents."""
     spark = docs.sparkSession
     batched(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    signed = written(rows.mapInArrow(_signatures, SIGNATURES), "signatures")
+    signed = written(rows.mapInArrow(_signatures(*banding(threshold)), SIGNATURES), "signatures")
     full = signed.where("n > 0 and doc is not null")
     # Classes of equal sets.
     reps = full.groupBy("f1", "f2", "n").agg(F.min("doc").alias("rep"))
@@ -189,7 +230,7 @@ def groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     def confirmed(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
         both = pairs.join(sets.select(F.col("doc").alias("b"), F.col("set").alias("sb")), "b").join(sets.select(F.col("doc").alias("a"), F.col("set").alias("sa")), "a")
-        return both.select("a", "b", "sa", "sb").mapInArrow(_check_pairs(THRESHOLD), "a bigint, b bigint").distinct()
+        return both.select("a", "b", "sa", "sb").mapInArrow(_check_pairs(threshold), "a bigint, b bigint").distinct()
 
     def labelled(found: DataFrame) -> DataFrame:
         """Members of buckets that are still split, with their component."""
@@ -205,26 +246,35 @@ def groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     second = written(confirmed(pairs), "confirmed")
     known = written(first.unionByName(second).unionByName(links).distinct(), "links")
     left = labelled(known)
-    # Connected sets of buckets that are still split.
-    spread = left.groupBy("band", "key").agg(F.min("doc").alias("b"))
-    cluster = components(left.join(spread, ["band", "key"]).select(F.col("doc").alias("a"), "b"))
-    cluster = cluster.withColumnRenamed("component", "cluster")
-    inside = left.select("doc", "component").distinct().join(cluster, F.col("doc") == F.col("node")).drop("node")
-    sizes = inside.groupBy("cluster").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    inside = inside.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")))
-    # A member of block x works with every block y: tasks (least, greatest).
-    inside = inside.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    inside = inside.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "component").join(sets, "doc")
-    third = inside.groupBy("cluster", "i", "j").applyInArrow(_link_blocks, "a bigint, b bigint")
-    label = written(components(known.unionByName(third)), "components")
+    third = None
+    if not left.isEmpty():
+        sizes = left.groupBy("band", "key").agg(F.count("*").alias("m"))
+        own = left.join(sizes, ["band", "key"])
+        inside = own.where(F.col("m") <= block).select(F.col("band").cast("bigint").alias("g1"), F.col("key").alias("g2"), "doc", "component")
+        large = written(own.where(F.col("m") > block).select("doc", "component").distinct(), "large")
+        if not large.isEmpty():
+            inside = inside.unionByName(_by_prefix(large, sets, threshold))
+        inside = written(inside, "inside")
+        dealt = inside.groupBy("g1", "g2").agg(F.ceil(F.count("*") / block).alias("blocks"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
+        inside = inside.join(dealt.select("g1", "g2", "blocks"), ["g1", "g2"]).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")))
+        # A member of block x works with every block y: tasks (least, greatest).
+        inside = inside.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+        inside = inside.select("g1", "g2", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "component").join(sets, "doc")
+        third = inside.groupBy("g1", "g2", "i", "j").applyInArrow(_link_blocks(threshold), "a bigint, b bigint")
+    label = written(components(known if third is None else known.unionByName(third)), "components")
     discard(bucketed, sets, first, second, known)
     per_doc = signed.select("doc", "n")
     out = per_doc.join(label, F.col("doc") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "doc"))
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of documents that stand for their group; of rows that share a kept doc_id, one of each text stays."""
-    kept = groups(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.join(kept, docs["doc_id"].cast("bigint") == F.col("__kept"), "left_semi")
-    return named.dropDuplicates(["doc_id", "text"]).unionByName(docs.where(docs["doc_id"].isNull()))
+def deduplicated(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """The rows of documents that stand for their group; of rows that share a kept doc_id, one of each text stays: the one whose other columns have the least hash."""
+    kept = groups(docs, threshold).where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("__kept")).agg(F.count("*").alias("__n"))
+    kept = written(kept, "kept")
+    key = docs["doc_id"].cast("bigint")
+    single = docs.join(kept.where("__n = 1").select("__kept"), key == F.col("__kept"), "left_semi")
+    several = docs.join(kept.where("__n > 1").select("__kept"), key == F.col("__kept"), "left_semi")
+    rest = [c for c, kind in docs.dtypes if c not in ("doc_id", "text") and not kind.startswith("map")]
+    one = several.groupBy("doc_id", "text").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64(*[F.col(f"`{c}`") for c in rest], F.lit(0))).alias("__row"))
+    return single.unionByName(one.select("__row.*")).unionByName(docs.where(docs["doc_id"].isNull()))

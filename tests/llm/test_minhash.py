@@ -13,7 +13,7 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def brute(pairs):
+def brute(pairs, threshold=85):
     sets = [(i, shingles(t)) for i, t in pairs]
     label = {i: i for i, _ in sets if i is not None}
 
@@ -24,7 +24,7 @@ def brute(pairs):
 
     for x, (i, a) in enumerate(sets):
         for j, b in sets[:x]:
-            if None not in (i, j) and a and b and 100 * len(a & b) >= 85 * len(a | b):
+            if None not in (i, j) and a and b and 100 * len(a & b) >= threshold * len(a | b):
                 p, q = sorted((root(i), root(j)))
                 label[q] = p
     return sorted((str(i), len(s), str(i if i is None else root(i)), i is None or root(i) == i) for i, s in sets)
@@ -48,7 +48,7 @@ def corpus(seed, n=120):
 
 def check(make, pairs, **how):
     got = sorted((str(r[0]), r[1], str(r[2]), r[3]) for r in M.groups(make(pairs), **how).collect())
-    assert got == brute(pairs)
+    assert got == brute(pairs, how.get("threshold", 85))
 
 
 def test_matches_brute_force(make):
@@ -59,11 +59,33 @@ def test_blocks_lose_no_link(make):
     check(make, corpus(2), block=3)
 
 
+def test_other_thresholds(make):
+    assert M.banding(85) == (21, 6) and M.banding(80) == (25, 5) and M.banding(100) == (1, 6)
+    check(make, corpus(3, 80), threshold=80, block=4)
+
+
+def test_large_buckets_of_many_components_lose_no_link(make):
+    """Texts of one template: most share a bucket and few are similar, so the rounds leave them split."""
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(4000)]
+    template = rng.choices(words, k=150)
+    pairs = []
+    for i in range(90):
+        own = rng.choices(words, k=rng.randint(20, 45))
+        pairs.append((i, " ".join(template + own)))
+        if i % 3 == 0:
+            pairs.append((1000 + i, " ".join(template + own[: -rng.randint(1, 8)])))
+    check(make, pairs, block=8)
+
+
 def test_edges(make):
     long = " ".join(f"w{k}" for k in range(20_000))
     check(make, [(1, None), (2, ""), (3, " \n"), (4, "One two"), (5, "one  TWO"), (6, "one two three"), (7, long), (8, long + " more"), (8, long + " more"), (None, long), (9, "É é x"), (10, "é é x")])
     assert M.groups(make([])).count() == 0
     extra = make([(1, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (3, "z")]).selectExpr("*", "1 as doc", "2 as component")
+    odd = make([(1, "a b c"), (1, "a b c"), (1, "a b d")]).selectExpr("doc_id", "text", "monotonically_increasing_id() % 3 as source")
+    for _ in range(2):
+        assert sorted(r["text"] for r in M.deduplicated(odd.repartition(3)).collect()) == ["a b c", "a b d"]
     out = M.deduplicated(extra)
     assert out.columns == extra.columns and sorted(r["doc_id"] for r in out.collect()) == [1, 3]
 
