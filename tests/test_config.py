@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 
@@ -35,3 +36,23 @@ def test_discovery(tmp_path, monkeypatch):
     monkeypatch.setenv(G.ENV, str(tmp_path / "missing.json"))
     with pytest.raises(FileNotFoundError):
         G.load_config()
+
+
+def test_workspace_is_shared_or_refused(spark):
+    from types import SimpleNamespace
+
+    from tensorfold.errors import NoWorkspace
+    from tensorfold.plans.workspace import local_folder, workspace
+
+    def session(master, folder=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: folder), sparkContext=SimpleNamespace(master=master, applicationId="test"))
+
+    assert workspace(spark) == spark.conf.get("spark.checkpoint.dir")
+    assert workspace(session("spark://x:1", "hdfs://a/b/")) == "hdfs://a/b"
+    for master in ("spark://x:1", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(NoWorkspace):
+            workspace(session(master))
+    with pytest.raises(NoWorkspace):
+        local_folder(session("yarn", "hdfs://a/b"), "x")
+    own = workspace(session("local[2]")).removeprefix("file://")
+    assert os.path.isdir(own) and local_folder(session("local[2]"), "x") == f"{own}/x"

@@ -281,3 +281,19 @@ def test_sessions_follow_the_configuration_and_are_reused(spark, cube, monkeypat
         assert t.config.source == "mapped" and t.tensor("a").count() == 120
         t.reset({0: [str(tmp_path / "y.safetensors")]})
         assert t.keys() == ["y"]
+
+
+def test_tour(spark, tmp_path):
+    import importlib.util
+    from pathlib import Path
+
+    spec = importlib.util.spec_from_file_location("tour", Path(__file__).parent.parent / "examples" / "tour.py")
+    tour = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(tour)
+    paths = tour.samples(spark, str(tmp_path))
+    assert tour.single(spark, paths) == 8 * sum(range(16))
+    whole, dealt = tour.parallel(spark, paths)
+    sizes = lambda df: {r["rank"]: r["count"] for r in df.groupBy("rank").count().collect()}
+    assert sizes(whole) == {0: 128, 1: 128} and sizes(dealt) == {0: 64, 1: 64}
+    assert tour.reuse(spark, paths) == [["a0"], ["b0"]]
+    assert tour.by_configuration(spark, paths) == [(0, "a0", 256), (1, "b0", 256)]
