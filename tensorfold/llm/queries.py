@@ -66,8 +66,8 @@ def op7_chat_format(spark, d):
 
 
 SQL["op7_chat_format"] = """
-WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
-c AS (SELECT conv_id, list(struct_pack(r := role, x := text) ORDER BY turn, role, text) AS l, string_agg('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered FROM t GROUP BY conv_id),
+WITH t AS (SELECT *, CASE WHEN conv_id IS NULL THEN struct_pack(t := turn, r := role, x := text) END AS lone FROM (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations)),
+c AS (SELECT conv_id, list(struct_pack(r := role, x := text) ORDER BY turn NULLS FIRST, role, text) AS l, string_agg('<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS rendered FROM t GROUP BY conv_id, lone),
 m AS (SELECT min(conv_id) AS conv_id, l, any_value(rendered) AS rendered, len(l) AS n FROM c GROUP BY l),
 p AS (SELECT DISTINCT list_slice(l, 1, k) AS l FROM (SELECT l, unnest(range(1, n)) AS k FROM m))
 SELECT conv_id, CAST(n AS BIGINT) AS n_turns, rendered FROM m WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.l = m.l)"""
