@@ -7,13 +7,14 @@
 2. Every block of every document is held against every item. By the rule of step 3 a passage that holds an item must have one of the item's
    rarest words, as many of them as may be missing and one more (a copy), or its answer's rarest word (a paraphrase); and, counted with
    repeats, as many of the item's words as the rule asks for. Only blocks that fail this are left out, so none that the rule accepts is.
-   Items come in blocks of ``ITEM_BLOCK``, so what is broadcast has a bound, and a pass is made for each block.
+   Items come in blocks of ``ITEM_BLOCK``, and a pass over the documents serves ``BLOCKS_A_PASS`` of them, so what is broadcast has a bound.
 3. The words around a candidate are compared with the item's: the longest common subsequence must hold ``COPY`` of
    the item's words, or ``PARAPHRASE`` of them and the answer, the item's last ``ANSWER`` words, in order within a passage of its length.
 4. The projections, scaled by the inverse singular values, of an item and the passage it was found in give the cosine; it decides nothing.
 
 Contract. Null and empty texts and items match nothing; items of fewer than ``LEAST_WORDS`` words are sought whole and in order (``COPY`` = 1). Repeated rows
-give their own matches once. Other columns pass through ``filtered``. Empty tables give empty results.
+give their own matches once; of several places with an item the one with most common words counts, then one with the answer, then the largest cosine. A
+text of any length is read whole; memory follows its words. Other columns pass through ``filtered``. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -36,6 +37,9 @@ ITEM_BLOCK = 2048
 CANDIDATES = 1 << 19
 SLAB = 256
 TREE = 256
+TILE = 1 << 14
+#: Blocks of items that one pass over the documents looks for.
+BLOCKS_A_PASS = 8
 
 
 def _blocks(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,47 +72,49 @@ def _sketch(batches):
     """The sketch of the blocks' term counts, in slabs of terms, and the blocks with each term."""
     from pyspark import TaskContext
 
-    product, df, n = np.zeros(TERMS * SKETCH_ROWS, np.int32), np.zeros(TERMS, np.int64), 0
+    product, df, n = np.zeros(TERMS * SKETCH_ROWS, np.int64), np.zeros(TERMS, np.int64), 0
     for b in batches:
         data, bounds = X.utf8(b.column("text"))
+        doc = b.column("doc").to_numpy(zero_copy_only=False).view(np.uint64)
         for i, j in X.chunks(bounds):
             h, first = X.word_hashes(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
             if not len(h):
                 continue
-            term = term_of(h)
-            starts, _ = _blocks(first)
-            n += len(starts)
-            size = np.diff(np.append(starts, len(term)))
-            block = np.repeat(np.arange(len(starts)), size)
-            # A block's place in the sketch and its sign come from its words, so a retried task gives the same.
-            mark = X.mix(np.add.reduceat(h, starts))
-            cell = term * SKETCH_ROWS + (mark % X.U(SKETCH_ROWS)).astype(np.int64)[block]
-            sign = (2 * (mark >> X.U(63)).astype(np.int32) - 1)[block]
-            np.add.at(product, cell, sign)
-            pairs = np.sort(block * TERMS + term)
-            df += np.bincount(pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] % TERMS, minlength=TERMS)
-    own, product = TaskContext.get().partitionId(), product.reshape(TERMS, SKETCH_ROWS)
+            all_starts, of_row = _blocks(first)
+            n += len(all_starts)
+            # A block's place in the sketch and its sign come from its document, place and words: a retried task gives the same, and equal blocks of different documents are apart.
+            row = np.repeat(np.arange(j - i), np.diff(of_row))
+            mark = X.mix(np.add.reduceat(h, all_starts) + X.mix(doc[i + row] * X.BASE + (np.arange(len(row)) - of_row[row]).astype(np.uint64)))
+            edges = np.append(all_starts, len(h))
+            for t in range(0, len(all_starts), TILE):  # of a long text's blocks some at a time
+                starts, own = edges[t : min(t + TILE, len(all_starts)) + 1], mark[t : t + TILE]
+                term = term_of(h[starts[0] : starts[-1]])
+                block = np.repeat(np.arange(len(own)), np.diff(starts))
+                cell = term * SKETCH_ROWS + (own % X.U(SKETCH_ROWS)).astype(np.int64)[block]
+                np.add.at(product, cell, (2 * (own >> X.U(63)).astype(np.int64) - 1)[block])
+                pairs = np.sort(block * TERMS + term)
+                df += np.bincount(pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] % TERMS, minlength=TERMS)
+    part, product = TaskContext.get().partitionId(), product.reshape(TERMS, SKETCH_ROWS)
     for s in range(0, TERMS, SLAB):
-        yield pa.RecordBatch.from_arrays([pa.array([own % TREE]), pa.array([s // SLAB]), pa.array([product[s : s + SLAB].tobytes()], pa.binary()), pa.array([df[s : s + SLAB].tobytes()], pa.binary()), pa.array([n])], names=["branch", "slab", "product", "df", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([part % TREE]), pa.array([s // SLAB]), pa.array([product[s : s + SLAB].tobytes()], pa.binary()), pa.array([df[s : s + SLAB].tobytes()], pa.binary()), pa.array([n])], names=["branch", "slab", "product", "df", "n"])
 
 
 SKETCH = "branch bigint, slab bigint, product binary, df binary, n bigint"
 
 
 def _summed(table):
-    product = sum(np.frombuffer(x.as_buffer(), np.int32).astype(np.int64) for x in table.column("product"))
-    df = sum(np.frombuffer(x.as_buffer(), np.int64) for x in table.column("df"))
-    return pa.table({"branch": pa.array([0], pa.int64()), "slab": table.column("slab")[:1], "product": pa.array([product.astype(np.int32).tobytes()], pa.binary()), "df": pa.array([df.tobytes()], pa.binary()), "n": pa.array([sum(table.column("n").to_pylist())], pa.int64())})
+    product, df = (sum(np.frombuffer(x.as_buffer(), np.int64) for x in table.column(c)) for c in ("product", "df"))
+    return pa.table({"branch": pa.array([0], pa.int64()), "slab": table.column("slab")[:1], "product": pa.array([product.tobytes()], pa.binary()), "df": pa.array([df.tobytes()], pa.binary()), "n": pa.array([sum(table.column("n").to_pylist())], pa.int64())})
 
 
 def fit(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(TERMS + 1, RANK) projection of term counts: inverse block frequency, basis and inverse singular values in one; the last row is zero. And the inverse block frequencies."""
-    parts = rows.select("text").mapInArrow(_sketch, SKETCH).groupBy("branch", "slab").applyInArrow(_summed, SKETCH)
+    parts = rows.select("doc", "text").mapInArrow(_sketch, SKETCH).groupBy("branch", "slab").applyInArrow(_summed, SKETCH)
     whole = parts.groupBy("slab").applyInArrow(_summed, SKETCH).toArrow().sort_by("slab")
     out = np.zeros((TERMS + 1, RANK), np.float32)
     if not whole.num_rows:
         return out, np.zeros(TERMS, np.float32)
-    product = np.concatenate([np.frombuffer(x, np.int32) for x in whole.column("product").to_pylist()]).reshape(TERMS, SKETCH_ROWS).astype(np.float64)
+    product = np.concatenate([np.frombuffer(x, np.int64) for x in whole.column("product").to_pylist()]).reshape(TERMS, SKETCH_ROWS).astype(np.float64)
     df = np.concatenate([np.frombuffer(x, np.int64) for x in whole.column("df").to_pylist()])
     idf = np.log((1 + whole.column("n")[0].as_py()) / (1 + df)) ** POWER
     values, u = np.linalg.eigh((product * idf[:, None]).T @ (product * idf[:, None]))
@@ -256,40 +262,46 @@ class Items:
 def _search(shared):
     @lean
     def search(batches):
-        projection, items = shared.value
+        projection, blocks = shared.value
         for b in batches:
             data, bounds = X.utf8(b.column("text"))
             doc, fp = b.column("doc").to_numpy(zero_copy_only=False), b.column("fp").to_numpy(zero_copy_only=False)
-            found = []
             for i, j in X.chunks(bounds):
                 h, first = X.word_hashes(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
-                if not len(h):
-                    continue
-                term = term_of(h)
-                starts, of_row = _blocks(first)
-                ends = np.append(starts[1:], len(term))
-                row = np.repeat(np.arange(j - i), np.diff(of_row))
-                at, item = items.candidates(h, first, of_row)
-                best: dict[tuple[int, int], tuple] = {}
-                for p, k in zip(at.tolist(), item.tolist(), strict=True):
-                    r = int(row[p])
-                    hit = items.match(k, h[first[r] : first[r + 1]], int(starts[p] - first[r]))
-                    if hit and hit >= best.get((r, k), ((0, False), []))[0]:
-                        best.setdefault((r, k), (hit, []))
-                        best[r, k] = (hit, [*best[r, k][1], p] if hit == best[r, k][0] else [p])
-                seen = np.unique(np.array([p for _, places in best.values() for p in places], np.int64))
-                passages = _block_sums(projection, term, starts[seen], ends[seen])
-                two = np.flatnonzero(seen + 1 < of_row[row[seen] + 1])
-                passages[two] += _block_sums(projection, term, starts[seen[two] + 1], ends[seen[two] + 1])
-                unit = _unit(passages)
-                for (r, k), ((n, ok), places) in best.items():
-                    cosine = float((unit[np.searchsorted(seen, places)] @ items.vectors[k]).max())
-                    found.append({"doc": int(doc[i + r]), "fp": int(fp[i + r]), "item_id": items.ids[k], "common_words": n, "item_words": len(items.words[k]), "answer": ok, "cosine": cosine})
-            yield pa.RecordBatch.from_pylist(found, MATCH_ARROW)
+                if len(h):
+                    found = [f for items in blocks for f in _found(items, projection, h, first, doc[i:j], fp[i:j])]
+                    yield pa.RecordBatch.from_pylist(found, MATCH_ARROW)
 
     return search
 
 
+def _found(items: Items, projection: np.ndarray, h: np.ndarray, first: np.ndarray, doc: np.ndarray, fp: np.ndarray) -> list[dict]:
+    """Items of a block in rows, given as word hashes."""
+    starts, of_row = _blocks(first)
+    ends = np.append(starts[1:], len(h))
+    row = np.repeat(np.arange(len(doc)), np.diff(of_row))
+    at, item = items.candidates(h, first, of_row)
+    best: dict[tuple[int, int], tuple] = {}
+    for p, k in zip(at.tolist(), item.tolist(), strict=True):
+        r = int(row[p])
+        hit = items.match(k, h[first[r] : first[r + 1]], int(starts[p] - first[r]))
+        if hit and hit >= best.get((r, k), ((0, False), []))[0]:
+            best.setdefault((r, k), (hit, []))
+            best[r, k] = (hit, [*best[r, k][1], p] if hit == best[r, k][0] else [p])
+    if not best:
+        return []
+    seen = np.unique(np.array([p for _, places in best.values() for p in places], np.int64))
+    term = term_of(h)
+    passages = _block_sums(projection, term, starts[seen], ends[seen])
+    two = np.flatnonzero(seen + 1 < of_row[row[seen] + 1])
+    passages[two] += _block_sums(projection, term, starts[seen[two] + 1], ends[seen[two] + 1])
+    unit = _unit(passages)
+    return [
+        {"doc": int(doc[r]), "fp": int(fp[r]), "item_id": items.ids[k], "common_words": n, "item_words": len(items.words[k]), "answer": ok, "cosine": float((unit[np.searchsorted(seen, places)] @ items.vectors[k]).max())}
+        for (r, k), ((n, ok), places) in best.items()
+    ]
+
+
 MATCHES = "doc bigint, fp bigint, item_id bigint, common_words bigint, item_words bigint, answer boolean, cosine double"
 MATCH_ARROW = pa.schema([("doc", pa.int64()), ("fp", pa.int64()), ("item_id", pa.int64()), ("common_words", pa.int64()), ("item_words", pa.int64()), ("answer", pa.bool_()), ("cosine", pa.float64())])
 
@@ -303,11 +315,10 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n = -(-wanted.count() // ITEM_BLOCK)
     projection, idf = fit(rows) if n else (None, None)
     out = spark.createDataFrame([], MATCHES)
-    for k in range(n):
-        block = wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()
-        if block:
-            shared = spark.sparkContext.broadcast((projection, Items([r[0] for r in block], [r[1] for r in block], projection, idf)))
-            out = out.unionByName(rows.mapInArrow(_search(shared), MATCHES))
+    for k in range(0, n, BLOCKS_A_PASS):
+        own = [wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).orderBy("item_id", "text").collect() for i in range(k, min(k + BLOCKS_A_PASS, n))]
+        shared = spark.sparkContext.broadcast((projection, [Items([r[0] for r in block], [r[1] for r in block], projection, idf) for block in own if block]))
+        out = out.unionByName(rows.mapInArrow(_search(shared), MATCHES))
     return out.groupBy("doc", "fp", "item_id").agg(F.max(F.struct("common_words", "item_words", "answer", "cosine")).alias("x")).select("doc", "fp", "item_id", "x.*")
 
 

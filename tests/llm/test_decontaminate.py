@@ -134,3 +134,15 @@ def test_short_items_verbatim(spark, make, world):
     got = found(spark, make, docs + copies, items)
     assert {(1000 + k, k) for k in range(60)} <= {x[:2] for x in got}
     assert got == everywhere(docs + copies, items)
+
+
+def test_blocks_of_items_in_one_pass_and_in_several(spark, make, world, monkeypatch):
+    docs, items, _, _ = world
+    some = docs[:120]
+    whole = found(spark, make, some, items)
+    monkeypatch.setattr(D, "ITEM_BLOCK", 4)
+    for at_once in (1, 3, 100):
+        monkeypatch.setattr(D, "BLOCKS_A_PASS", at_once)
+        assert found(spark, make, some, items) == whole
+    assert whole == everywhere(some, items)
+
