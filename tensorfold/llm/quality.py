@@ -8,8 +8,9 @@ ids of each label and as many of their rows, least hash first, equal rows once;
 against all of them by exact cosines in blocks; the ``NEIGHBOURS`` largest vote, weighted by similarity. Votes are weighted back to the labels'
 shares in all labelled rows.
 
-Contract. Only texts enter a score. A null or empty text, or no labels at all, scores the share of label 1 (0.5 if there is none). Conflicting
-labels of a doc_id count as 0; a null doc_id has no label and is not held out. Rows alike score alike. Other columns don't matter. An
+Contract. Only texts enter a score, and whole ones. A null or empty text, or no labels at all, scores the share of label 1 (0.5 if there is none). Conflicting
+labels of a doc_id count as 0; a null doc_id has no label and is not held out. Neighbours that tie with the last one all vote. Rows alike
+score alike, up to the rounding of matrix products. Other columns don't matter. An
 empty table gives an empty result.
 """
 
@@ -41,22 +42,23 @@ _shape[128:] = ord("a")
 _shape[48:58] = ord("0")
 
 
-def terms(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed terms of texts in a buffer, and the row of each."""
+def terms(data: np.ndarray, bounds: np.ndarray):
+    """Runs of hashed terms of texts in a buffer, each with the rows they are of."""
     n = len(bounds) - 1
+    starts, ends, first = X.words(data, bounds)
+    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(first))
+    yield TERMS + _bucket(X.mix(X.hashes_of(data, starts, ends, lower=True)), WORDS), row
     shape = _shape[data]
     keep = np.ones(len(shape), bool)
     keep[1:] = shape[1:] != shape[:-1]
-    starts, ends, first = X.words(data, bounds)
     keep[starts] = True
-    place = np.concatenate([[0], np.cumsum(keep)])
-    word = X.Runs(shape[keep]).of(place[starts], place[ends])
-    row = np.repeat(np.arange(n), np.diff(first))
-    found, rows = [word], [row]
+    place = np.concatenate([np.zeros(1, np.uint32), np.cumsum(keep, dtype=np.uint32)])
+    word = X.hashes_of(shape[keep], place[starts].astype(np.int64), place[ends].astype(np.int64))
+    del shape, keep, place
+    yield _bucket(word, TERMS), row
     if len(word) > 1:
         pair = row[1:] == row[:-1]
-        found.append(X.mix(word[:-1] * X.BASE + word[1:])[pair])
-        rows.append(row[1:][pair])
+        yield _bucket(X.mix(word[:-1] * X.BASE + word[1:])[pair], TERMS), row[1:][pair]
     counts = rules.count_texts(data, bounds)
     some = counts["n_words"] > 0
     for k, name in enumerate(("repeats", "dup_lines", "capitals", "symbols", "bare_marks")):
@@ -64,22 +66,23 @@ def terms(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         for least in (1, 2, 4, 6):  # nested, so that near shares have terms in common; each weighs as part of the words
             hit = some & (level >= least)
             times = np.maximum(counts["n_words"] // 10, 1)[hit]
-            found.append(np.full(int(times.sum()), X.mix(np.array([1 + 100 * k + least], np.uint64))[0]))
-            rows.append(np.repeat(np.flatnonzero(hit), times))
-    h = np.concatenate(found)
-    own, own_first = X.word_hashes(data, bounds)
-    found, rows = [_bucket(h, TERMS), TERMS + _bucket(X.mix(own), WORDS)], [*rows, np.repeat(np.arange(n), np.diff(own_first))]
-    return np.concatenate(found), np.concatenate(rows)
+            yield _bucket(np.full(int(times.sum()), X.mix(np.array([1 + 100 * k + least], np.uint64))[0]), TERMS), np.repeat(np.flatnonzero(hit).astype(np.int32), times)
 
 
 def _bucket(h: np.ndarray, n: int) -> np.ndarray:
-    return (h >> X.U(64 - n.bit_length() + 1)).astype(np.int64)
+    return (h >> X.U(64 - n.bit_length() + 1)).astype(np.int32)
 
 
 def term_rows(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each row's terms, in order, their damped counts, and the rows' bounds among them."""
-    term, row = terms(data, bounds)
-    keys, count = np.unique(row * (TERMS + WORDS) + term, return_counts=True)
+    if len(bounds) == 2:  # one text, which may be long
+        total = np.zeros(TERMS + WORDS, np.int64)
+        for term, _ in terms(data, bounds):
+            total += np.bincount(term, minlength=len(total))
+        keys = np.flatnonzero(total)
+        count = total[keys]
+    else:
+        keys, count = np.unique(np.concatenate([row * np.int64(TERMS + WORDS) + term for term, row in terms(data, bounds)]), return_counts=True)
     row, term = np.divmod(keys, TERMS + WORDS)
     return term, np.log1p(count).astype(np.float32), np.searchsorted(row, np.arange(len(bounds)))
 
@@ -161,8 +164,14 @@ class Model:
         cosine = _unit(projected(term, value, first, self.projection)) @ self.vectors.T
         k = min(NEIGHBOURS, cosine.shape[1])
         near = np.argpartition(cosine, cosine.shape[1] - k, axis=1)[:, -k:]
-        weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0) ** 8 * self.weights[near] + 1e-9
-        return np.where(filled, (weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1), self.share).astype(np.float64)
+        found = np.take_along_axis(cosine, near, axis=1)
+        weight = np.maximum(found, 0) ** 8 * self.weights[near] + 1e-9
+        out = (weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1)
+        for r in np.flatnonzero((cosine >= found.min(axis=1, keepdims=True)).sum(axis=1) > k):  # all that tie with the last neighbour vote
+            tied = np.flatnonzero(cosine[r] >= found[r].min())
+            weight = np.maximum(cosine[r, tied], 0) ** 8 * self.weights[tied] + 1e-9
+            out[r] = (weight * self.labels[tied]).sum() / weight.sum()
+        return np.where(filled, out, self.share).astype(np.float64)
 
 
 def fit(rows: DataFrame, labels: DataFrame) -> Model:

@@ -7,13 +7,13 @@ stays within ``LIMIT`` divided by rules. Trying in a fixed order and stopping at
 cutoff that passed may be taken; a rule takes the one that catches most bad rows, each good one lost weighing as ``COST``. So with probability 1 - ``LEVEL`` all strata lose at most ``LIMIT`` of their good rows to the rules, and a stratum with too few
 labels has no cutoff. Only histograms of labelled rows by stratum, rule and share reaches the driver.
 
-Contract. A null text has no words; it fails the base rule. Labels count once for each doc_id (0 if they differ); a null doc_id
+Contract. A null text has no words; it fails the base rule. Texts of any length are counted whole. Of cutoffs that catch as many, the most lenient is taken. Labels count once for each doc_id (0 if they differ); a null doc_id
 has none. Rows alike get the same verdict. Other columns don't matter. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from math import exp, lgamma, log
+from math import exp, lgamma, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -48,12 +48,13 @@ def count_texts(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
     n = len(bounds) - 1
 
     def per_row(flags):
-        total = np.concatenate([[0], np.cumsum(flags)])
-        return total[bounds[1:]] - total[bounds[:-1]]
+        out, filled = np.zeros(n, np.int64), bounds[:-1] < bounds[1:]
+        if filled.any():
+            out[filled] = np.add.reduceat(flags, bounds[:-1][filled], dtype=np.int64)
+        return out
 
     starts, ends, first = X.words(data, bounds)
-    runs = X.Runs(data)
-    hashes, words = runs.of(starts, ends), np.diff(first)
+    hashes, words = X.hashes_of(data, starts, ends), np.diff(first)
     row = np.repeat(np.arange(n), words)
     out = {"n_words": words, "word_chars": per_row(~X.IS_SPACE[data] & ((data & 0xC0) != 0x80)), "n_symbols": per_row(SYMBOLS[data])}
     repeated = np.zeros(len(hashes), bool)
@@ -72,14 +73,14 @@ def count_texts(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
     nl = np.concatenate([cut, [len(data)]])
     end = np.minimum(nl[np.searchsorted(cut, begin)], bounds[line_row + 1])
     filled = np.searchsorted(starts, end) > np.searchsorted(starts, begin)
-    line, line_row = runs.of(begin[filled], end[filled]), line_row[filled]
+    line, line_row = X.hashes_of(data, begin[filled], end[filled]), line_row[filled]
     order = np.lexsort((line, line_row))
     again = (line[order][1:] == line[order][:-1]) & (line_row[order][1:] == line_row[order][:-1])
     out["n_dup_lines"] = np.bincount(line_row[order][1:][again], minlength=n)
     lines = np.bincount(line_row, minlength=n)
     capitals, letters = per_row((data >= 65) & (data <= 90)), per_row(((data | 32) >= 97) & ((data | 32) <= 122))
     marks = ~((data >= 48) & (data <= 57) | ((data | 32) >= 97) & ((data | 32) <= 122) | (data >= 128) | X.IS_SPACE[data])
-    heard = np.concatenate([[0], np.cumsum(~marks & ~X.IS_SPACE[data])])
+    heard = np.concatenate([np.zeros(1, np.uint32), np.cumsum(~marks & ~X.IS_SPACE[data], dtype=np.uint32)])
     bare = np.bincount(row[heard[ends] == heard[starts]], minlength=n)
     share = lambda a, b: np.clip(a / np.maximum(b, 1), 0, 1)
     out |= {"symbols": share(out["n_symbols"], out["word_chars"]), "capitals": share(capitals, letters), "repeats": share(out["n_repeat_words"], words), "dup_lines": share(out["n_dup_lines"], lines), "bare_marks": share(bare, words)}
@@ -94,18 +95,41 @@ def _count(batches):
             yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), *(pa.array(c[k].astype(np.int64)) for k in COUNTS), *(pa.array(c[k].astype(np.float64)) for k in RULES)], names=["doc_id", *COUNTS, *RULES])
 
 
+def beta_share(x: float, a: float, b: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_share(1 - x, b, a)
+    tiny = 1e-300
+    front = exp(a * log(x) + b * log1p(-x) + lgamma(a + b) - lgamma(a) - lgamma(b)) / a
+    c, d = 1.0, 1 / max(1 - (a + b) * x / (a + 1), tiny)
+    out = d
+    for m in range(1, 100_000):
+        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 + term * d
+            d = 1 / (d if abs(d) > tiny else tiny)
+            c = 1 + term / c
+            c = c if abs(c) > tiny else tiny
+            out *= c * d
+        if abs(c * d - 1) < 1e-14:
+            break
+    return front * out
+
+
+def at_most(k: int, n: int, p: float) -> float:
+    """The probability of at most k of n with a share of p."""
+    return 1.0 if k >= n else beta_share(1 - p, n - k, k + 1)
+
+
 def upper_limit(k: int, n: int, level: float) -> float:
     """The exact upper limit of a share of which k of n were seen: with a larger share, so few come with probability below the level."""
     if n == 0 or k >= n:
         return 1.0
-
-    def at_most(p: float) -> float:
-        return sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(p) + (n - i) * log(1 - p)) for i in range(k + 1))
-
     low, high = k / n, 1.0
-    for _ in range(50):
+    for _ in range(60):
         mid = (low + high) / 2
-        low, high = (mid, high) if at_most(mid) > level else (low, mid)
+        low, high = (mid, high) if at_most(k, n, mid) > level else (low, mid)
     return high
 
 
@@ -118,7 +142,7 @@ def cutoffs(good: dict[tuple[int, str], np.ndarray], bad: dict[tuple[int, str],
         for b in range(BINS, 0, -1):
             lost += int(counts[b])
             caught += int(bad[key][b]) if key in bad else 0
-            if upper_limit(lost, n, level / tests) > limit / len(RULES):
+            if at_most(lost, n, limit / len(RULES)) > level / tests:  # the upper limit exceeds what a rule may lose
                 break
             if caught - COST * lost > best:
                 best, cut = caught - COST * lost, b

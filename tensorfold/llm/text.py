@@ -132,18 +132,23 @@ def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(starts, bounds)
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word, and where each row's words begin among them."""
-    starts, ends, first = words(data, bounds)
+def hashes_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    """Hashes of runs of bytes that follow one another, some at a time: a hash of bytes takes eight times their room."""
     out = np.empty(len(starts), np.uint64)
     at = 0
-    while at < len(starts):  # some words at a time: a hash of bytes takes eight times their room
+    while at < len(starts):
         to = max(at + 1, int(np.searchsorted(ends, starts[at] + CHUNK_BYTES, "right")))
         low = starts[at]
         part = data[low : ends[to - 1]]
         out[at:to] = Runs(LOWER[part] if lower else part).of(starts[at:to] - low, ends[at:to] - low)
         at = to
-    return out, first
+    return out
+
+
+def word_hashes(data: np.ndarray, bounds: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word, and where each row's words begin among them."""
+    starts, ends, first = words(data, bounds)
+    return hashes_of(data, starts, ends, lower), first
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
