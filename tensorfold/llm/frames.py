@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import gc
@@ -12,17 +13,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tensorfold.plans.workspace import workspace
+
 #: Stands in for a null id, after all others.
 LAST_ID = (1 << 63) - 1
 
 
-def workspace(spark: SparkSession) -> str:
-    """The folder for intermediate tables: spark.checkpoint.dir of the session; set to a folder of the file system's only where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+#: Paths of tables written since the last scratch began, by scratch.
+_made: list[list[str]] = []
 
 
 def written(df: DataFrame, what: str = "step") -> DataFrame:
@@ -35,28 +33,56 @@ def written(df: DataFrame, what: str = "step") -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
+    for made in _made:
+        made.append(path)
     del df
     release(spark)
     return out
 
 
 def release(spark: SparkSession) -> None:
-    """Has the driver drop plans that nothing refers to, and with them their shuffle files."""
+    """Has the driver drop plans that nothing refers to, and with them their shuffle files: else these stay on the executors' disks until the driver happens to collect its garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes written tables that nothing lazy reads any more."""
     for t in tables:
-        jvm = t.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(t.written_path)
-        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(t.sparkSession, t.written_path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes, at its end, every table written within, but for those whose path is added to the set it gives."""
+    kept: set[str] = set()
+    made: list[str] = []
+    _made.append(made)
+    try:
+        yield kept
+    finally:
+        _made.remove(made)
+        for path in made:
+            if path not in kept:
+                _delete(spark, path)
 
 
 def batched(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds the rows of an Arrow batch, so that long texts don't fill a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    """Bounds the rows of an Arrow batch, so that long texts don't fill a worker's memory; a bound that the session was given stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or now in _bounds.get(spark.sparkContext.applicationId, ()):
+        spark.conf.set(key, rows)
+        _bounds.setdefault(spark.sparkContext.applicationId, set()).add(str(rows))
+
+
+_bounds: dict[str, set[str]] = {}
 
 
 def lean(function):

@@ -16,7 +16,7 @@ Each page is parsed twice, so that its text never crosses a shuffle: first for t
 are a row for each site; they are broadcast up to ``BROADCAST_NODES`` of them, and beyond that joined by site, with sites salted.
 
 Contract. A null or empty html has an empty text; a null or odd url has the host "". Broken markup is read as far as it goes: a tag ends at the next angle
-bracket outside quotes, a quote that is never closed is a character. Markup of any nesting is read in time in proportion to its length. Equal rows get equal
+bracket outside quotes, a quote that is never closed is a character. Markup of any nesting is read in time in proportion to its length. Pages of any length are read whole, by one task. Equal rows get equal
 texts. Other columns don't matter. An empty table gives an empty result.
 """
 

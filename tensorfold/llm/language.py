@@ -11,7 +11,8 @@ Host: prior counts by host are smoothed towards those of its domain, these towar
 Rejected (kept false): rows whose best class is ``und``, or whose posterior is below ``least``.
 
 Contract. A null or empty text has no trigrams and is rejected as ``und`` with what evidence remains; a null host, declaration or
-suffix is no evidence. Of classes with equal posteriors the first in the list wins. Rows alike get the same answer. Other columns pass through ``filtered``. An empty table gives an empty result.
+suffix is no evidence. Of classes with equal posteriors the first in the list wins. Texts of any length are
+read whole. Rows alike get the same answer. Other columns pass through ``filtered``. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -55,6 +56,13 @@ def trigrams(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return code[ok].astype(np.int64), row[:-2][ok]
 
 
+def trigram_tiles(data: np.ndarray, bounds: np.ndarray):
+    """The same for a buffer of any length, a tile at a time."""
+    for a in range(0, max(len(data) - 2, 0), X.CHUNK_BYTES):
+        part = data[a : a + X.CHUNK_BYTES + 2]
+        yield trigrams(part, np.clip(bounds - a, 0, len(part)))
+
+
 def fit(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, text: str = "text", declared: str = "lang") -> np.ndarray:
     """(languages + 1, BUCKETS) log-likelihoods. The tasks' counts have at most languages x buckets rows each, summed map-side."""
     batched(docs.sparkSession)
@@ -66,8 +74,8 @@ def fit(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, text: str = "te
             data, bounds = X.utf8(b.column(0))
             lang = np.array([languages.index(x) for x in b.column(1).to_pylist()], np.int64)
             for i, j in X.chunks(bounds):
-                code, row = trigrams(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
-                own += np.bincount(lang[i + row] * BUCKETS + code, minlength=own.size).reshape(own.shape)
+                for code, row in trigram_tiles(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]):
+                    own += np.bincount(lang[i + row] * BUCKETS + code, minlength=own.size).reshape(own.shape)
         at = np.flatnonzero(own)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(own.reshape(-1)[at])], names=["cell", "n"])
 
@@ -92,10 +100,12 @@ def text_scores(rows: DataFrame, table: np.ndarray, keep: list[str]) -> DataFram
             data, bounds = X.utf8(b.column("text"))
             out = np.zeros((b.num_rows, len(t)))
             for i, j in X.chunks(bounds):
-                code, row = trigrams(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
-                n = np.bincount(row, minlength=j - i)
-                for c in range(len(t)):
-                    out[i:j, c] = np.bincount(row, weights=t[c][code], minlength=j - i) * np.minimum(1 / OVERLAP, TEXT_WEIGHT / np.maximum(n, 1))
+                n = np.zeros(j - i, np.int64)
+                for code, row in trigram_tiles(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]):
+                    n += np.bincount(row, minlength=j - i)
+                    for c in range(len(t)):
+                        out[i:j, c] += np.bincount(row, weights=t[c][code], minlength=j - i)
+                out[i:j] *= np.minimum(1 / OVERLAP, TEXT_WEIGHT / np.maximum(n, 1))[:, None]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, len(t), dtype=np.int32)), pa.array(out.reshape(-1)))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), lists], names=[*keep, "loglik"])
 

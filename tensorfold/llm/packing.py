@@ -7,7 +7,8 @@
    emptiest sequences, enough that a sequence could be saved, and these are dealt and packed again, as long as
    a round saves sequences. No task ever holds more than about ``per_task`` pieces. Each piece carries its partition's count and bound.
 
-Contract. A null or empty text is the closing id alone. Rows are packed row by row, also those that share a doc_id; a null doc_id
+Contract. A null or empty text is the closing id alone. A text of any length is encoded whole, in tiles; its ids are held by one task. Pieces of equal length are packed
+in the order of their numbers. Rows are packed row by row, also those that share a doc_id; a null doc_id
 stays null. Other columns don't matter. An empty table gives an empty result.
 """
 

@@ -5,7 +5,7 @@ shard's rows without gaps: rows are dealt to chunks of about ``CHUNK_ROWS`` by h
 after the chunks before it, so no task holds a whole shard.
 
 Contract. A null text has size 16 and the checksum of no bytes; a null doc_id is a key like any other. Rows with equal doc_ids share a
-shard. Other columns pass through ``write``. An empty table gives an empty result.
+shard; rows alike in id, checksum and size stand in any order there. A text of any length is measured whole. Other columns pass through ``write``. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from tensorfold.llm.frames import written
 SHARDS = 40
 OVERHEAD = 16
 CHUNK_ROWS = 100_000
+FILE_BYTES = 512 << 20
 # Fixed values of the published algorithm.
 MULTIPLIER = np.uint64(2862933555777941757)
 
@@ -60,8 +61,24 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("before") + F.col("inside")).cast("bigint").alias("slot"), "grown_shard")
 
 
-def write(docs: DataFrame, path: str, shards: int = SHARDS, files_per_shard: int = 1) -> None:
-    """The rows as Parquet files, a folder a shard; a shard's rows are spread over its files by id and text."""
-    placed = docs.withColumn("shard", shard_of(F.xxhash64(F.col("doc_id").cast("bigint")), shards))
+def free_name(docs: DataFrame, name: str) -> str:
+    """The name, with underscores after it while a column of the table has it (in any case of letters)."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def write(docs: DataFrame, path: str, shards: int = SHARDS, files_per_shard: int | None = None) -> str:
+    """The rows as Parquet files, a folder a shard; a shard's rows are spread over its files by id and text, by default one for each ``FILE_BYTES`` of texts.
+
+    Returns the name of the folders' column: ``shard``, or a free one if the table has a column of that name, which is written as it is.
+    """
+    if files_per_shard is None:
+        size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("bigint") + OVERHEAD)).first()[0] or 0
+        files_per_shard = max(1, -(-size // (shards * FILE_BYTES)))
+    name = free_name(docs, "shard")
+    placed = docs.withColumn(name, shard_of(F.xxhash64(F.col("doc_id").cast("bigint")), shards))
     part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(files_per_shard))
-    placed.repartition(shards * files_per_shard, "shard", part).write.partitionBy("shard").parquet(path)
+    placed.repartition(shards * files_per_shard, name, part).write.partitionBy(name).parquet(path)
+    return name

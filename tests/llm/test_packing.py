@@ -115,7 +115,7 @@ def test_packed(make, reference):
     assert P.packed(make([])).count() == 0
     for r in P.packed(make(pairs), per_task=20).collect():
         assert r["bins"] >= r["bound"] >= 1
-    twice = P.packed(make([(1, "a b"), (1, "a b"), (None, "c")])).collect()
+    twice = P.packed(make([(1, "a b"), (1, "a b"), (None, "c")]).selectExpr("*", "1 as uid", "'x' as ids", "2 as piece", "3 as bound")).collect()
     assert len(twice) == 3 and len({r["sequence_id"] for r in twice}) == 1
     seqs = P.sequences(make([(1, "a b"), (2, "c")])).collect()
     assert sorted(seqs[0]["ids"]) == sorted([*reference.encode("a b").ids, 2, *reference.encode("c").ids, 2])

@@ -50,6 +50,9 @@ def test_write_shards(make, spark, tmp_path):
     sharding.write(make([(k, "t") for k in range(200)]), str(tmp_path / "s"), 4, 2)
     back = spark.read.parquet(str(tmp_path / "s"))
     assert back.count() == 200 and back.select("shard").distinct().count() == 4
+    own = make([(k, None if k == 3 else "t") for k in range(50)]).selectExpr("*", "doc_id + 99 as shard", "1 as SHARD_")
+    assert sharding.write(own, str(tmp_path / "own"), 4) == "shard__"
+    assert {r["doc_id"]: r["shard"] for r in spark.read.parquet(str(tmp_path / "own")).collect()} == {k: k + 99 for k in range(50)}
 
 
 def test_chat_matches_sql(spark, data):
@@ -74,6 +77,17 @@ def test_chat_cases(spark):
     rows += [(2, 0, "user", "a"), (9, None, None, "n"), (9, 3, "user", None)]
     got = {r["conv_id"]: r for r in chat.rendered(spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").selectExpr("*", "1 as place", "2 as n")).collect()}
     assert set(got) == {2, 4, 5, None, 7, 9}
+    # Rows without an id are a conversation each, and equal or shorter ones collapse as any others do.
+    rows += [(None, 0, "user", "a"), (None, 0, "user", "r"), (None, 1, "user", "r"), (None, 0, "user", "r")]
+    table = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")
+    alone = sorted((r["n_turns"], r["rendered"]) for r in chat.rendered(table).where("conv_id is null").collect())
+    assert alone == [(1, f"<|user|>\n{x}\n<|end|>\n") for x in "qr"]
+    import duckdb
+
+    want = duckdb.connect()
+    conversations = table.toArrow()  # noqa: F841
+    ours = sorted((str(r["conv_id"]), r["n_turns"], r["rendered"]) for r in chat.rendered(table).collect())
+    assert ours == sorted((str(i), n, t) for i, n, t in want.execute(SQL["op7_chat_format"]).fetchall())
     assert got[4]["rendered"] == "<|user|>\na\n<|end|>\n<|assistant|>\nx\n<|end|>\n" and got[7]["n_turns"] == 500
     assert chat.rendered(spark.createDataFrame([], "conv_id bigint, turn int, role string, text string")).count() == 0
 
@@ -126,6 +140,41 @@ def labelled(spark, make, n):
     return make([(k, prose(rng, j)) for k, j in enumerate(kinds)]), spark.createDataFrame([(k, int(j == 0), 0) for k, j in enumerate(kinds)], "doc_id bigint, quality int, toxic int"), kinds
 
 
+def test_binomial_shares_and_verdicts_by_plain_loops(spark, make):
+    from math import comb
+
+    for n, k, p in ((10, 3, 0.2), (400, 0, 0.01), (1000, 37, 0.04), (50_000, 480, 0.01)):
+        want = sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)) if n <= 1000 else None
+        if want is not None:
+            assert abs(rules.at_most(k, n, p) - want) < 1e-9
+    docs, labels, _ = labelled(spark, make, 1500)
+    got = {r["doc_id"]: r for r in rules.judged(docs, labels).collect()}
+    quality_of = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    shares = {}
+    for r in docs.collect():
+        data = np.frombuffer(r["text"].encode(), np.uint8)
+        c = rules.count_texts(data, np.array([0, len(data)]))
+        shares[r["doc_id"]] = {k: float(c[k][0]) for k in rules.RULES}
+    stratum = {i: sum(r["n_words"] > top for top in rules.STRATA) for i, r in got.items()}
+    cut = {}
+    for s in range(len(rules.STRATA) + 1):
+        for rule in rules.RULES:
+            here = [(int(np.ceil(shares[i][rule] * rules.BINS)), quality_of[i]) for i, r in got.items() if stratum[i] == s and not r["base_failed"] and i in quality_of]
+            n = sum(q for _, q in here)
+            best, chosen = 0, None
+            for b in range(rules.BINS, 0, -1):
+                lost, caught = sum(q == 1 and x >= b for x, q in here), sum(q == 0 and x >= b for x, q in here)
+                if not n or rules.upper_limit(lost, n, rules.LEVEL / (len(rules.RULES) * (len(rules.STRATA) + 1))) > rules.LIMIT / len(rules.RULES):
+                    break
+                if caught - rules.COST * lost > best:
+                    best, chosen = caught - rules.COST * lost, b
+            cut[s, rule] = chosen
+    assert any(cut.values())
+    for i, r in got.items():
+        hit = any(c is not None and int(np.ceil(shares[i][rule] * rules.BINS)) >= c for rule in rules.RULES for c in [cut[stratum[i], rule]])
+        assert r["kept"] == (not r["base_failed"] and not hit)
+
+
 def test_rules_reject_junk_and_keep_the_rest(spark, make):
     docs, labels, kinds = labelled(spark, make, 3000)
     kept = {r["doc_id"]: r["kept"] for r in rules.judged(docs, labels).collect()}
@@ -143,6 +192,22 @@ def test_quality_held_out(spark, make):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in got.values())
 
 
+def test_quality_votes_by_plain_loops(spark, make):
+    docs, labels, _ = labelled(spark, make, 300)
+    rows = docs.select("doc_id", "text")
+    model = quality.fit(rows, labels)
+    got = {r["doc_id"]: r["score"] for r in quality.scored(docs, labels).collect()}
+    for r in docs.collect()[:60]:
+        data = np.frombuffer(r["text"].encode(), np.uint8)
+        term, value, _ = quality.term_rows(data, np.array([0, len(data)]))
+        v = sum((model.projection[t] * x for t, x in zip(term, value, strict=True)), np.zeros(quality.RANK, "f4"))
+        v = v / np.linalg.norm(v)
+        votes = sorted(((float(v @ u), float(w), float(y)) for u, w, y in zip(model.vectors, model.weights, model.labels, strict=True)), reverse=True)
+        near = [x for x in votes if x[0] >= votes[min(quality.NEIGHBOURS, len(votes)) - 1][0]]
+        weight = [max(c, 0) ** 8 * w + 1e-9 for c, w, _ in near]
+        assert abs(sum(w * y for w, (_, _, y) in zip(weight, near, strict=True)) / sum(weight) - got[r["doc_id"]]) < 1e-3
+
+
 def test_quality_ignores_held_out_labels_and_edges(spark, make):
     docs, labels, _ = labelled(spark, make, 400)
     odd = docs.unionByName(make([(None, "x"), (9000, None), (9001, ""), (9002, "w " * 50_000), (3, "again")]))
