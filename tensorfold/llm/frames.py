@@ -7,6 +7,7 @@ import ctypes
 import functools
 import gc
 import uuid
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -121,17 +122,45 @@ def joined_left(rows: DataFrame, small: DataFrame, key: str, entries: int, most:
     return dealt.join(salted.hint("merge"), [key, "__salt"], "left").drop("__salt")
 
 
+LINKS_A_TASK = 200_000
+
+
+def _stars(batches):
+    """Each node of a task's links with the smallest one that they lead to, but for that one."""
+    parent: dict[int, int] = {}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for b in batches:
+        for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), strict=True):
+            parent.setdefault(u, u)
+            parent.setdefault(v, v)
+            u, v = root(u), root(v)
+            if u != v:
+                parent[max(u, v)] = min(u, v)
+    nodes = sorted(x for x in parent if parent[x] != x)
+    for i in range(0, len(nodes), 50_000):
+        part = nodes[i : i + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], names=["u", "v"])
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): the smallest node that links lead to, for every node of a link between different nodes.
+    """(node, component): the smallest node that links lead to, for every node of a link between different nodes but that smallest one.
 
-    Alternating large-star and small-star steps (Kiveris et al., 2014) over written tables; each step is a map-side
+    Links are dealt to tasks of about ``LINKS_A_TASK``, and each leaves a star for each of its own components. Where one task holds all, that is the
+    answer. Else alternating large-star and small-star steps (Kiveris et al., 2014) over written tables; each step is a map-side
     combined minimum by node and a join, so a node with very many links is split, not gathered.
     """
     spark = edges.sparkSession
     e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     e = written(e, "links")
-    if e.isEmpty():
-        return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    n = ceil(e.count() / LINKS_A_TASK)
+    if n <= 1:
+        return written(e.coalesce(1).mapInArrow(_stars, "u bigint, v bigint"), "links").select(F.col("u").alias("node"), F.col("v").alias("component"))
+    e = written(e.repartition(n, "u", "v").mapInArrow(_stars, "u bigint, v bigint").distinct(), "links")
     last = old = None
     while True:
         both = e.union(e.select("v", "u"))

@@ -65,3 +65,25 @@ def test_word_hashes_of_long_texts(monkeypatch):
     monkeypatch.setattr(X, "CHUNK_BYTES", 33)
     again, first_again = X.word_hashes(data, bounds)
     assert (whole == again).all() and (first == first_again).all() and whole[0] == X.word_hashes(np.frombuffer(b"x one", np.uint8), np.array([0, 5]))[0][1]
+
+
+def test_components_in_one_task_and_in_several(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(k, k + 1) for k in range(1000, 1060)] + [(2000, k) for k in range(2001, 2100)] + [(5, 5)]
+    label = {x: x for pair in links for x in pair}
+    for _ in range(len(links)):
+        again = False
+        for a, b in links:
+            low = min(label[a], label[b])
+            again |= label[a] != low or label[b] != low
+            label[a] = label[b] = low
+        if not again:
+            break
+    want = {k: v for k, v in label.items() if k != v}
+    df = spark.createDataFrame(links, "a bigint, b bigint")
+    for most in (200_000, 50, 3):
+        monkeypatch.setattr(frames, "LINKS_A_TASK", most)
+        assert {r["node"]: r["component"] for r in frames.components(df).collect()} == want
+    assert frames.components(df.limit(0)).count() == 0
