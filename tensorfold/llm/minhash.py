@@ -7,10 +7,11 @@
 3. Links are confirmed on full sets, in rounds without listing a bucket's pairs. In round one every member of a bucket is held
    against its smallest member. Confirmed links give components; a bucket whose members all share one is done. In round
    two the members of each other bucket are held against the smallest member outside the first one's component.
-4. What is still split goes to tasks that hold each member once and find every link between different components by a prefix-filtered index
-   over the sets: a bucket of up to ``block`` members is one such group. Members of larger ones are grouped by the words of their prefixes instead: two similar sets
+4. What is still split goes to tasks that hold each member once and find every link between different components by an index over the
+   sets: a bucket of up to ``block`` members is one such group. Members of larger ones are grouped by the words of their prefixes instead: two similar sets
    share one of the members that come first in their order, rarest first, so groups are as small as these are rare, and no link
-   is lost. Only a group that is still larger (many sets made of the same few shingles) is dealt in blocks, a task for each pair of blocks.
+   is lost. A group whose sets have up to ``words`` members is one task. Of a larger one the sets outside its main component, the one with most of it, are
+   dealt in blocks of so many, and so are the main ones: a task for each block of others and block of main ones, and for each pair of blocks of others.
 
 Contract. A null or blank text has no shingles, no links and itself as component. A null doc_id is linked with
 nothing either, and has no component. A text of any length is read whole; its set is held by one task. Of documents that tie as a group's smallest there is one id. Rows that share a doc_id are one document for links (any of its texts may link). Other
@@ -34,6 +35,8 @@ WIDTH = 5
 THRESHOLD = 85
 MISSED = 5e-5
 BLOCK = 256
+#: Members of all sets that a task holds, 8 MB, but for a set that is larger by itself.
+WORDS = 1 << 20
 SIGNATURES = "doc bigint, n bigint, f1 bigint, f2 bigint, bands array<bigint>"
 
 
@@ -137,16 +140,14 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([b.column("doc").slice(i, j - i), pa.array(raw, pa.binary())], names=["doc", "set"])
 
 
-def prefix_length(n: int, threshold: int = THRESHOLD) -> int:
-    """How many of a set's members, first in an order for all sets, hold one that it shares with each similar set."""
-    return n - -(-threshold * n // 100) + 1
-
-
 def links_between(sets: list[np.ndarray], component: list[int], allowed=None, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
     """Pairs of places whose sets are similar and whose components differ, enough of them to join all that belong together.
 
-    Members are indexed by the prefixes of their sets, rarest first. ``allowed`` tells which pairs are this task's.
+    Every set outside the largest component is held against all others at once: an index by member counts what they share. ``allowed`` gives, for a place, the
+    places that it is this task's to compare with it.
     """
+    if not sets:
+        return []
     parent = {c: c for c in component}
 
     def root(c):
@@ -154,38 +155,66 @@ def links_between(sets: list[np.ndarray], component: list[int], allowed=None, th
             parent[c] = c = parent[parent[c]]
         return c
 
-    everything, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), None)
-    index: dict[int, list[int]] = defaultdict(list)
+    n, of = np.array([len(s) for s in sets]), np.array(component, np.int64)
+    first = np.concatenate([[0], np.cumsum(n)])
+    token = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    holders = np.repeat(np.arange(len(sets)), n)[np.argsort(token, kind="stable")]
+    counts = np.bincount(token)
+    starts = np.cumsum(counts) - counts
+    kinds, sizes = np.unique(of, return_counts=True)
     out = []
-    for k in sorted(range(len(sets)), key=lambda i: len(sets[i])):
-        s = sets[k]
-        at = np.searchsorted(everything, s)
-        prefix = at[np.lexsort((at, counts[at]))][: prefix_length(len(s), threshold)].tolist()
-        seen = set()
-        for token in prefix:
-            for other in index[token]:
-                if other in seen:
-                    continue
-                seen.add(other)
-                if (allowed is None or allowed(k, other)) and root(component[k]) != root(component[other]) and similar(s, sets[other], threshold):
-                    out.append((k, other))
-                    parent[root(component[k])] = root(component[other])
-        for token in prefix:
-            index[token].append(k)
+    for k in np.flatnonzero(of != kinds[sizes.argmax()]).tolist():
+        own = token[first[k] : first[k + 1]]
+        many = counts[own]
+        at = np.arange(many.sum()) + np.repeat(starts[own] - (np.cumsum(many) - many), many)
+        both = np.bincount(holders[at], minlength=len(sets))
+        near = (100 * both >= threshold * (n[k] + n - both)) & (of != of[k])
+        if allowed is not None:
+            near &= allowed(k)
+        near = np.flatnonzero(near)
+        for other in near[np.unique(of[near], return_index=True)[1]].tolist():
+            if root(component[k]) != root(component[other]):
+                out.append((k, other))
+                parent[root(component[k])] = root(component[other])
     return out
 
 
+#: A task of a group is (i, j): WHOLE and 0 if it holds all of it; else a block of others, and a block of main ones or -1 less a block of others.
+WHOLE = -1
+
+
 def _link_blocks(threshold: int):
     def run(key, table):
         sets = [_set_of(x.as_buffer()) for x in table.column("set")]
-        doc, component, own = (table.column(c).to_pylist() for c in ("doc", "component", "own"))
+        doc, component = (table.column(c).to_pylist() for c in ("doc", "component"))
+        own = table.column("own").to_numpy()
         i, j = key[2].as_py(), key[3].as_py()
-        found = links_between(sets, component, None if i == j else lambda x, y: own[x] != own[y], threshold)
+        if i == WHOLE or j == -1 - i:
+            allowed = None
+        elif j < 0:
+            allowed = lambda k: own != own[k]
+        else:
+            allowed = lambda k: (own < 0) != (own[k] < 0)
+        found = links_between(sets, component, allowed, threshold)
         return pa.table({"a": pa.array([doc[x] for x, _ in found], pa.int64()), "b": pa.array([doc[y] for _, y in found], pa.int64())})
 
     return run
 
 
+def _dealt(inside: DataFrame, words: int) -> DataFrame:
+    """(g1, g2, i, j, own, doc, component): the members of groups that are split, for each of their tasks; own is a member's block among others, -1 for a main one."""
+    kinds = inside.groupBy("g1", "g2", "component").agg(F.sum("n").alias("n"))
+    sizes = kinds.groupBy("g1", "g2").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
+    blocks = [F.ceil((F.col("n") - F.col("main.n")) / words).alias("others"), F.ceil(F.col("main.n") / words).alias("mains")]
+    sizes = sizes.select("g1", "g2", F.col("main.component").alias("main"), (F.col("n") <= words).alias("whole"), *blocks)
+    rows = inside.join(sizes, ["g1", "g2"]).withColumn("own", F.expr("if(component = main, -1L, pmod(xxhash64(doc), others))"))
+    whole = f"array(struct({WHOLE}L as i, 0L as j))"
+    of_main = "transform(sequence(0L, others - 1), x -> struct(x as i, pmod(xxhash64(doc), mains) as j))"
+    of_other = "concat(transform(sequence(0L, mains - 1), x -> struct(own as i, x as j)), transform(sequence(0L, others - 1), x -> struct(least(own, x) as i, -1L - greatest(own, x) as j)))"
+    rows = rows.withColumn("task", F.explode(F.expr(f"case when whole then {whole} when own < 0 then {of_main} else {of_other} end")))
+    return rows.select("g1", "g2", "task.i", "task.j", "own", "doc", "component")
+
+
 @lean
 def _members(batches):
     """A row for each member of each set."""
@@ -198,18 +227,19 @@ def _members(batches):
 
 
 def _by_prefix(large: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """(g1, g2, doc, component): members under each word of their prefix that another of them has too."""
+    """(g1, g2, doc, n, component): members under each word of their prefix that another of them has too."""
     tokens = written(large.select("doc").join(sets, "doc").mapInArrow(_members, "doc bigint, n bigint, token bigint"), "tokens")
     shared = tokens.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
     own = tokens.join(shared, "token").groupBy("doc", "n").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("own"))
     # Words that no other set has come first in the order and make no group.
-    length = F.expr(f"n - ({threshold} * n + 99) div 100 + 1")  # as in prefix_length
+    # So many of a set's members, first in an order for all sets, hold one that it shares with each similar set.
+    length = F.expr(f"n - ({threshold} * n + 99) div 100 + 1")
     left = F.greatest(length - (F.col("n") - F.size("own")), F.lit(0)).cast("int")
-    first = own.select("doc", F.explode(F.slice("own", F.lit(1), left)).alias("x"))
-    return first.join(large, "doc").select(F.lit(-1).cast("bigint").alias("g1"), F.col("x.token").alias("g2"), "doc", "component")
+    first = own.select("doc", "n", F.explode(F.slice("own", F.lit(1), left)).alias("x"))
+    return first.join(large, "doc").select(F.lit(-1).cast("bigint").alias("g1"), F.col("x.token").alias("g2"), "doc", "n", "component")
 
 
-def groups(docs: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK) -> DataFrame:
+def groups(docs: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK, words: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of documents."""
     spark = docs.sparkSession
     batched(spark)
@@ -221,7 +251,7 @@ def groups(docs: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK) -> D
     members = full.select("doc", "f1", "f2", "n").join(reps, ["f1", "f2", "n"]).select("doc", "rep").distinct()
     links = members.where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
     # Buckets with different classes.
-    keyed = full.join(reps.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi").select("doc", F.posexplode("bands").alias("band", "key"))
+    keyed = full.join(reps.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi").select("doc", "n", F.posexplode("bands").alias("band", "key"))
     several = keyed.groupBy("band", "key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high")
     bucketed = written(keyed.join(several.select("band", "key", "low"), ["band", "key"]).distinct(), "buckets")
     wanted = bucketed.select("doc").distinct().hint("merge")  # the same plan at every size
@@ -235,7 +265,7 @@ def groups(docs: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK) -> D
     def labelled(found: DataFrame) -> DataFrame:
         """Members of buckets that are still split, with their component."""
         label = components(found)
-        own = bucketed.join(label, F.col("doc") == F.col("node"), "left").select("band", "key", "doc", F.coalesce("component", "doc").alias("component"))
+        own = bucketed.join(label, F.col("doc") == F.col("node"), "left").select("band", "key", "doc", "n", F.coalesce("component", "doc").alias("component"))
         split = own.groupBy("band", "key").agg(F.min(F.struct("doc", "component")).alias("x"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
         return written(own.join(split.select("band", "key", F.col("x.component").alias("lead")), ["band", "key"]), "split")
 
@@ -250,17 +280,12 @@ def groups(docs: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK) -> D
     if not left.isEmpty():
         sizes = left.groupBy("band", "key").agg(F.count("*").alias("m"))
         own = left.join(sizes, ["band", "key"])
-        inside = own.where(F.col("m") <= block).select(F.col("band").cast("bigint").alias("g1"), F.col("key").alias("g2"), "doc", "component")
+        inside = own.where(F.col("m") <= block).select(F.col("band").cast("bigint").alias("g1"), F.col("key").alias("g2"), "doc", "n", "component")
         large = written(own.where(F.col("m") > block).select("doc", "component").distinct(), "large")
         if not large.isEmpty():
             inside = inside.unionByName(_by_prefix(large, sets, threshold))
-        inside = written(inside, "inside")
-        dealt = inside.groupBy("g1", "g2").agg(F.ceil(F.count("*") / block).alias("blocks"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
-        inside = inside.join(dealt.select("g1", "g2", "blocks"), ["g1", "g2"]).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")))
-        # A member of block x works with every block y: tasks (least, greatest).
-        inside = inside.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-        inside = inside.select("g1", "g2", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "component").join(sets, "doc")
-        third = inside.groupBy("g1", "g2", "i", "j").applyInArrow(_link_blocks(threshold), "a bigint, b bigint")
+        members = _dealt(written(inside, "inside"), words).join(sets, "doc")
+        third = members.groupBy("g1", "g2", "i", "j").applyInArrow(_link_blocks(threshold), "a bigint, b bigint")
     label = written(components(known if third is None else known.unionByName(third)), "components")
     discard(bucketed, sets, first, second, known)
     per_doc = signed.select("doc", "n")

@@ -78,6 +78,43 @@ def test_large_buckets_of_many_components_lose_no_link(make):
     check(make, pairs, block=8)
 
 
+def family(m, seed=21):
+    """Near copies of one text that share buckets and prefix words, some of them similar, and copies of its own words."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(3000)]
+    base = rng.choices(words, k=150)
+    out = []
+    for i in range(m):
+        w = base[:]
+        for at in rng.sample(range(150), rng.randint(1, 6)):
+            w[at] = rng.choice(words)
+        out.append((i, " ".join(w)))
+    return out
+
+
+def test_groups_of_several_tasks_lose_no_link(make):
+    check(make, family(60) + [(1000 + i, t) for i, t in corpus(14, 30)], block=4, words=1500)
+
+
+def test_rows_of_tasks_grow_with_a_group_not_its_square(spark, make, monkeypatch):
+    real, rows = M._link_blocks, []
+
+    def counted(threshold):
+        run, n = real(threshold), rows[-1]
+
+        def count(key, table):
+            n.add(table.num_rows)
+            return run(key, table)
+
+        return count
+
+    monkeypatch.setattr(M, "_link_blocks", counted)
+    for m in (50, 200):
+        rows.append(spark.sparkContext.accumulator(0))
+        M.groups(make(family(m)), block=8).collect()
+    assert 0 < rows[0].value and rows[1].value <= 8 * rows[0].value
+
+
 def test_edges(make):
     long = " ".join(f"w{k}" for k in range(20_000))
     check(make, [(1, None), (2, ""), (3, " \n"), (4, "One two"), (5, "one  TWO"), (6, "one two three"), (7, long), (8, long + " more"), (8, long + " more"), (None, long), (9, "É é x"), (10, "é é x")])
