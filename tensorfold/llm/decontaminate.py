@@ -1,16 +1,17 @@
-"""Benchmark items in documents: exact candidates by rare words, then longest common subsequences, answer checks and latent semantic cosines.
+"""Benchmark items in documents: latent semantic retrieval, with exact bounds for what it misses, then longest common subsequences and answer checks.
 
 1. Words (lower-cased) are hashed to ``TERMS``. One pass over all documents gives the terms' frequencies by block and a sparse random
    sketch of the blocks' term counts (every block is added to one of ``SKETCH_ROWS`` sums, with a random sign), summed over tasks in a tree.
    Weighted by inverse block frequency, the sketch's singular vectors and values are a randomised SVD of the TF-IDF passages, cut
    to ``RANK``. Passages are two neighbouring blocks of ``STRIDE`` words.
-2. Every block of every document is held against every item. By the rule of step 3 a passage that holds an item must have one of the item's
+2. Items and passages are projected, scaled by the inverse singular values, and every passage of every document is held against every item:
+   a cosine of ``COSINE`` makes it a candidate. What that misses (short items, as they are a small part of a passage, and paraphrases without the
+   rare words) is found by bounds that the rule of step 3 implies: a passage that holds an item must have one of the item's
    rarest words, as many of them as may be missing and one more (a copy), or its answer's rarest word (a paraphrase); and, counted with
-   repeats, as many of the item's words as the rule asks for. Only blocks that fail this are left out, so none that the rule accepts is.
+   repeats, as many of the item's words as the rule asks for. A block that meets these is a candidate too, so none that the rule accepts is left out.
    Items come in blocks of ``ITEM_BLOCK``, and a pass over the documents serves ``BLOCKS_A_PASS`` of them, so what is broadcast has a bound.
 3. The words around a candidate are compared with the item's: the longest common subsequence must hold ``COPY`` of
    the item's words, or ``PARAPHRASE`` of them and the answer, the item's last ``ANSWER`` words, in order within a passage of its length.
-4. The projections, scaled by the inverse singular values, of an item and the passage it was found in give the cosine; it decides nothing.
 
 Contract. Null and empty texts and items match nothing; items of fewer than ``LEAST_WORDS`` words are sought whole and in order (``COPY`` = 1). Repeated rows
 give their own matches once; of several places with an item the one with most common words counts, then one with the answer, then the largest cosine. A
@@ -31,6 +32,7 @@ TERMS = 1 << 14
 RANK = 128
 SKETCH_ROWS = 256
 POWER = 3
+COSINE = 0.3
 STRIDE = 16
 COPY, PARAPHRASE, ANSWER, LEAST_WORDS = 0.8, 0.6, 6, 5
 ITEM_BLOCK = 2048
@@ -275,12 +277,27 @@ def _search(shared):
     return search
 
 
+def _near(items: Items, projection: np.ndarray, term: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The candidates of the latent space, as blocks times items: passages, two neighbouring blocks of a row, whose cosine with an item reaches ``COSINE``."""
+    out, step = [np.zeros(0, np.int64)], max(1, CANDIDATES // len(items.ids))
+    for a in range(0, len(starts), step):
+        b = min(a + step, len(starts))
+        sums = _block_sums(projection, term, starts[a : b + 1], ends[a : b + 1])
+        two = np.flatnonzero(row[a + 1 : b + 1] == row[a : b + 1][: len(row[a + 1 : b + 1])])
+        passages = sums[: b - a].copy()
+        passages[two] += sums[two + 1]
+        out.append(a * len(items.ids) + np.flatnonzero(_unit(passages) @ items.vectors.T >= COSINE))
+    return np.concatenate(out)
+
+
 def _found(items: Items, projection: np.ndarray, h: np.ndarray, first: np.ndarray, doc: np.ndarray, fp: np.ndarray) -> list[dict]:
     """Items of a block in rows, given as word hashes."""
     starts, of_row = _blocks(first)
     ends = np.append(starts[1:], len(h))
     row = np.repeat(np.arange(len(doc)), np.diff(of_row))
+    term = term_of(h)
     at, item = items.candidates(h, first, of_row)
+    at, item = np.divmod(np.union1d(_near(items, projection, term, starts, ends, row), at * len(items.ids) + item), len(items.ids))
     best: dict[tuple[int, int], tuple] = {}
     for p, k in zip(at.tolist(), item.tolist(), strict=True):
         r = int(row[p])
@@ -291,7 +308,6 @@ def _found(items: Items, projection: np.ndarray, h: np.ndarray, first: np.ndarra
     if not best:
         return []
     seen = np.unique(np.array([p for _, places in best.values() for p in places], np.int64))
-    term = term_of(h)
     passages = _block_sums(projection, term, starts[seen], ends[seen])
     two = np.flatnonzero(seen + 1 < of_row[row[seen] + 1])
     passages[two] += _block_sums(projection, term, starts[seen[two] + 1], ends[seen[two] + 1])

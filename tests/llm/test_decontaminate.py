@@ -45,6 +45,24 @@ def test_finds_leaks_and_paraphrases_and_nothing_else(spark, make, world):
     assert kept == {i for i, _ in docs} - {i for i, _ in got}
 
 
+def test_latent_search_finds_copies_by_itself_and_bounds_find_the_rest(spark, make, world, monkeypatch):
+    docs, items, leaks, near = world
+    projection, idf = D.fit(D.identified(make(docs)))
+    of = D.Items([k for k, _ in items], [t for _, t in items], projection, idf)
+    h, first = D.X.word_hashes(*D.X.utf8(D.pa.array([t for _, t in docs], D.pa.string())))
+    ids = D.np.array([i for i, _ in docs])
+    pairs = lambda: {(x["doc"], x["item_id"]) for x in D._found(of, projection, h, first, ids, ids)}
+    both = pairs()
+    with monkeypatch.context() as m:
+        m.setattr(D.Items, "candidates", lambda *_: (D.np.zeros(0, D.np.int64),) * 2)
+        latent = pairs()
+        m.setattr(D, "CANDIDATES", 30 * 7)  # tiles of 7 blocks
+        assert pairs() == latent
+    assert leaks <= latent <= both and len(latent) >= 0.95 * len(both)
+    monkeypatch.setattr(D, "COSINE", 2)
+    assert pairs() == both
+
+
 def test_item_blocks(spark, make, world, monkeypatch):
     docs, items, leaks, near = world
     monkeypatch.setattr(D, "ITEM_BLOCK", 10)
