@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tensorfold import errors as E
 from tensorfold.functions import dtypes as D
 from tensorfold.operators import tensors as T
+from tensorfold.operators.indexing import numbered
 from tensorfold.plans import perf
 from tensorfold.plans.config import Config, under_mount
 from tensorfold.plans.session import open_tensors
@@ -60,6 +61,40 @@ def test_blocks_of_one_tensor_are_joined(spark, tmp_path):
         A.write_archive(packed.where("elem_start <> 128"), str(tmp_path / "gap"), 1)
 
 
+def shuffled(spark):
+    """Bytes that tasks have read from shuffles in all."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleReadBytes() for k in range(stages.size()))
+
+
+def test_blocks_are_written_where_they_are(spark, tmp_path):
+    """No task takes a tensor's blocks from the others, whatever their order."""
+    data = np.random.default_rng(0).integers(0, 256, 4 << 20, dtype=np.uint8)
+    step = 1 << 18
+    rows = [("x", "U8", [len(data)], at, bytearray(data[at : at + step].tobytes())) for at in range(0, len(data), step)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows[::-1], 4), "name string, dtype string, shape array<bigint>, elem_start bigint, payload binary")
+    before = shuffled(spark)
+    A.write_archive(df, str(tmp_path / "o"), layout=[("x", "U8", [len(data)])])
+    assert shuffled(spark) - before < 100_000
+    assert content(spark, str(tmp_path / "o")) == {("x", 0): data.tobytes()}
+    for wrong, match in ((df.unionByName(df.limit(1)), "begins at element|ends at element"), (df.unionByName(df.where("elem_start = 0")), "twice"), (df.withColumn("elem_start", F.col("elem_start") + 1), "has no place"), (df.where("elem_start > 0"), "begins at element")):
+        with pytest.raises(Exception, match=match):
+            A.write_archive(wrong, str(tmp_path / "o"), mode="overwrite")
+    with pytest.raises(E.DuplicateTensor):
+        A.write_archive(df, str(tmp_path / "o"))
+    assert content(spark, str(tmp_path / "o")) == {("x", 0): data.tobytes()} and len(list((tmp_path / "o").iterdir())) == 1
+
+
+def test_rows_are_numbered_without_a_shuffle(spark):
+    df = spark.range(0, 1000, 1, 7).where("id % 3 <> 0 and (id < 400 or id > 600)")
+    got, n = numbered(df, "at")
+    assert "Exchange" not in got._jdf.queryExecution().toString()
+    assert [r["at"] for r in got.orderBy("id").collect()] == list(range(n)) and n == df.count()
+    none, n = numbered(df.where("id < 0"))
+    assert n == 0 and none.count() == 0
+
+
 def test_rows_wider_than_a_block(spark, tmp_path):
     wide = np.arange(30, dtype="<f4").reshape(3, 10)
     save(tmp_path / "w.safetensors", [("w", "F32", (3, 10), wide.tobytes())])
