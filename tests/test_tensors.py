@@ -103,6 +103,19 @@ def test_rows_wider_than_a_block(spark, tmp_path):
         assert got == {k: wide[k].tolist() for k in range(3)}
 
 
+def test_columns_side_by_side(spark, tmp_path):
+    n = 1000
+    f, i = np.random.default_rng(0).normal(size=n), np.arange(n, dtype="<i4") * 7 - 100
+    save(tmp_path / "c.safetensors", [("f", "F64", (n,), f.tobytes()), ("i", "I32", (n,), i.tobytes())])
+    of = lambda name, size: A.read_blocks(spark, str(tmp_path), block_bytes=size, names=[name])
+    for stripe in (7, 64, 5000):
+        got = T.side_by_side({"a": (of("f", 100), "double"), "b": (of("i", 1000), "int"), "c": (of("f", 1 << 20), "bigint")}, n, stripe)
+        assert "Join" not in got._jdf.queryExecution().toString()
+        assert sorted(map(tuple, got.collect())) == list(zip(range(n), f.tolist(), i.tolist(), f.view("i8").tolist(), strict=True))
+    with pytest.raises(Exception, match="do not cover"):
+        T.side_by_side({"a": (of("f", 100).where("elem_start <> 12"), "double"), "b": (of("i", 100), "int")}, n, 64).collect()
+
+
 def test_large_blocks_of_one_byte_types(spark, tmp_path):
     n = 3 << 20
     data = np.arange(n, dtype=np.uint8)
